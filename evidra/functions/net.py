@@ -87,3 +87,8 @@ def canonical_address(c: Column) -> Column:
     plain = F.lower(F.regexp_replace(first, r"^\[([^\]]*)\](?::\d+)?$|^([^:]*):\d+$", "$1$2"))
     zoneless = F.regexp_replace(plain, r"%.*$", "")
     return let(zoneless, lambda x: F.when(x.contains(":"), _v6(x)).when(is_v4(x), x))
+
+
+def is_address(c: Column) -> Column:
+    """True for an IPv4 or IPv6 address written alone: no port, brackets, zone or list."""
+    return is_v4(c) | F.coalesce(c.rlike(r"^[0-9a-fA-F:.]*:[0-9a-fA-F:.]*$") & _v6(F.lower(c)).isNotNull(), F.lit(False))

@@ -7,10 +7,27 @@ from pyspark.sql import functions as F
 
 from evidra.functions.net import canonical_address
 from evidra.functions.times import micros, show_seconds
+from evidra.operators.drift import layout_changes, union_rows
+from evidra.operators.malformed import checked_lines
 from evidra.operators.sessions import sessions
 from evidra.session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of the log layout: site, source_log, line_no, field, change."""
+    return layout_changes(read_table(spark, sf_dir, "iis_log_lines"))
+
+
+def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All loadable log lines as one table with the columns of iis_requests, and line_no."""
+    return union_rows(checked_lines(read_table(spark, sf_dir, "iis_log_lines")).where("reason is null"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data lines that fail to parse: site, source_log, line_no, reason."""
+    return checked_lines(read_table(spark, sf_dir, "iis_log_lines")).where("reason is not null").select("site", "source_log", "line_no", "reason")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of each client: client_ip, session_start, session_end, n_requests."""
     requests = read_table(spark, sf_dir, "iis_requests")
@@ -19,4 +36,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("client_ip", show_seconds("start_us").alias("session_start"), show_seconds("end_us").alias("session_end"), F.col("n_events").alias("n_requests"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p5_found": p5_found}
