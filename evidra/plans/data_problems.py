@@ -9,6 +9,8 @@ from evidra.functions.net import canonical_address
 from evidra.functions.times import micros, show_seconds
 from evidra.operators.drift import layout_changes, union_rows
 from evidra.operators.malformed import checked_lines
+from evidra.operators.nested import task_items
+from evidra.operators.packed import unpack
 from evidra.operators.sessions import sessions
 from evidra.session import read_table
 
@@ -28,6 +30,27 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked_lines(read_table(spark, sf_dir, "iis_log_lines")).where("reason is not null").select("site", "source_log", "line_no", "reason")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of exported tasks: record_id, task_no, section, parent_position, position, item."""
+    return task_items(read_table(spark, sf_dir, "task_xml"), "record_id", "xml_text")
+
+
+#: Fixed names: the packed members of event data; only group names hold blanks.
+PACKED_MEMBERS = ("PrivilegeList", "AccessList", "UserAccountControl", "Hashes", "GroupMembership")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each packed value in a row of its own: origin, row_id, field, position, value. Of rows with one id one counts (the greatest text)."""
+    extra = read_table(spark, sf_dir, "timeline").select(F.lit("timeline").alias("origin"), F.col("event_id").alias("row_id"), F.lit("extra").alias("field"), F.col("extra").alias("text"))
+    events = read_table(spark, sf_dir, "evtx_rows").select("record_id", F.try_parse_json("event_data").alias("v"))
+    member = [F.struct(F.lit(x).alias("field"), F.try_variant_get("v", f"$.{x}", "string").alias("text")) for x in PACKED_MEMBERS]
+    members = events.where("v is not null").select(F.lit("evtx_rows").alias("origin"), F.col("record_id").alias("row_id"), F.explode(F.array(*member)).alias("m")).select("origin", "row_id", "m.*")
+    packed = extra.unionByName(members).where("row_id is not null and text is not null and trim(text) not in ('', '-')")
+    packed = packed.groupBy("origin", "row_id", "field").agg(F.max("text").alias("text"))
+    blanks = (F.col("origin") != "timeline") & (F.col("field") != "GroupMembership")
+    return unpack(packed.withColumn("blanks", blanks), "text", "blanks")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of each client: client_ip, session_start, session_end, n_requests."""
     requests = read_table(spark, sf_dir, "iis_requests")
@@ -36,4 +59,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("client_ip", show_seconds("start_us").alias("session_start"), show_seconds("end_us").alias("session_end"), F.col("n_events").alias("n_requests"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p5_found": p5_found}
