@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from evidra.llm.leaks import leaks
 from evidra.llm.runs import timeline_runs
 from evidra.llm.tokens import encode_corpus
 from evidra.session import read_table
@@ -20,5 +20,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evaluation items that leaked into each document: doc_id, item_id."""
+    return leaks(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
 ORACLE_SQL: dict[str, str] = {}
