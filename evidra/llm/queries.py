@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evidra.llm.leaks import leaks
 from evidra.llm.runs import timeline_runs
+from evidra.llm.spam import spam_scores
 from evidra.llm.tokens import encode_corpus
 from evidra.session import read_table
 
@@ -25,5 +26,10 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), "doc_id", "text", read_table(spark, sf_dir, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that are keyword, link, tag or product spam: doc_id."""
+    return spam_scores(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").where("score > 0.5").select("doc_id")
+
+
+QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 ORACLE_SQL: dict[str, str] = {}
