@@ -140,7 +140,7 @@ def build_index(docs: DataFrame, text: str, items: DataFrame, item_id: str, item
     else:
         vectors = np.zeros((0, 1))
     embed = np.vstack([vectors * idf[:, None], np.zeros((1, vectors.shape[1]))]).astype(np.float32)
-    latent = np.array([vectors[at].T @ np.array(w) if at else np.zeros(vectors.shape[1]) for at, w in passages], np.float32).reshape(len(texts), -1)
+    latent = np.array([vectors[at].T @ np.array(w) if at else np.zeros(vectors.shape[1]) for at, w in passages], np.float32).reshape(len(texts), vectors.shape[1])
     # the least weight of a stretch from which as many words are changed as may be
     spared = -(-LEAST // SPAN)
     bounds = np.full(len(texts), np.inf)

@@ -38,8 +38,8 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
     """`pages` with content and link features of each page as a struct `f` of doubles; a null or empty text has zeros.
 
     Shares are of words or characters of the whole text. Nothing here names a keyword: what counts is how often the same
-    words and pairs of words return, how few function words and sentences there are, and how much of the text is links,
-    separators, tags or prices.
+    words and pairs of words return, how few function words and sentences there are, how much of the text stands in lines
+    almost without function words, and how much of it is links, separators, tags or prices.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     t, w, n, lines = F.col("_t"), F.col("_words"), F.col("_n"), F.col("_lines")
@@ -47,7 +47,10 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
     rows = pages.withColumn("_t", F.when(raw.rlike("[\uff01-\uff5e]"), F.translate(raw, *_WIDE)).otherwise(raw)).withColumn("_low", F.lower(t))
     rows = rows.withColumn("_bare", F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, LINKED, "")).otherwise(t))
     unlinked = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(F.regexp_replace(F.col("_low"), r"<[^<>]*>|\]\([^()]*\)", " "), LINK, " ")).otherwise(F.col("_low"))
-    rows = rows.withColumn("_words", F.regexp_extract_all(unlinked, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    by_line = F.transform(F.split(unlinked, r"\n"), lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
+    rows = rows.withColumn("_by_line", by_line).withColumn("_words", F.flatten("_by_line"))
+    function_words = lambda ws: F.size(F.filter(ws, lambda x: x.isin(FUNCTION_WORDS)))
+    rows = rows.withColumn("_bare_words", F.flatten(F.filter("_by_line", lambda ws: function_words(ws) * 10 < F.size(ws))))
     rows = rows.withColumn("_rows", F.filter(F.split("_low", r"\n|\s[|•-]\s|<br>"), lambda x: F.trim(x) != ""))
     rows = rows.withColumn("_n", F.greatest(F.size("_words"), F.lit(1)).cast("double")).withColumn("_lines", F.greatest(count(r"\S[^\n]*(?:\n|$)"), F.lit(1.0)))
     inner = F.greatest(F.size(w) - 1, F.lit(0))
@@ -58,7 +61,9 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
         "words": F.log1p(F.size(w).cast("double")),
         "distinct": F.size(F.array_distinct(w)) / n,
         "distinct_pairs": F.size(F.array_distinct(pairs)) / n,
-        "function_words": F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS))) / n,
+        "function_words": function_words(w) / n,
+        "bare_share": F.size("_bare_words") / n,
+        "bare_distinct": F.size(F.array_distinct("_bare_words")) / F.greatest(F.size("_bare_words"), F.lit(1)),
         "sentences": count(_SENTENCE) / n,
         "link_share": (F.length(t) - F.length("_bare")) / chars,
         "links": count(LINK) / lines,
@@ -77,20 +82,20 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
         "code": F.regexp_count("_bare", F.lit(r"[\\{}=_\"]")).cast("double") / chars,
     }
     struct = F.struct(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(x) for x, c in cells.items()))
-    return rows.withColumn("f", struct).drop("_t", "_low", "_bare", "_words", "_rows", "_n", "_lines")
+    return rows.withColumn("f", struct).drop("_t", "_low", "_bare", "_by_line", "_bare_words", "_words", "_rows", "_n", "_lines")
 
 
 def weak_label(f: str = "f") -> Column:
     """1.0 for clear spam, 0.0 for clear writing or records, null where rules of thumb shouldn't decide."""
     x = lambda name: F.col(f"{f}.{name}")
     written = F.exp(x("words")) - 1
-    bare = (x("function_words") < 0.08) & (x("times") < 0.2)
-    repeated = (written >= 12) & (x("distinct") < 0.45) & (x("distinct_pairs") < 0.8) & (x("digits") < 0.2)
+    bare = ((x("function_words") < 0.08) | (x("bare_share") > 0.6)) & (x("times") < 0.2) & ((x("digits") < 0.2) | (x("models") > 0.12))
+    repeated = (written >= 12) & (x("bare_distinct") < 0.45) & ((x("distinct_pairs") < 0.8) | (x("bare_distinct") < 0.35))
     linked = (x("link_share") > 0.45) & (x("sentences") < 0.05)
     mostly_linked = (x("link_share") > 0.6) & (x("times") < 0.2)
     listed = (written >= 12) & ((x("tags") > 0.3) | ((x("trails") > 0.8) & (x("line_words") < 15)) | (x("models") > 0.12))
     spam = (bare & (repeated | listed | linked)) | mostly_linked
-    prose = (x("function_words") > 0.17) & (x("link_share") < 0.3)
+    prose = (x("function_words") > 0.17) & (x("link_share") < 0.3) & (x("bare_share") < 0.4)
     varied = (x("distinct_pairs") > 0.85) & (x("sentences") > 0.03) & (x("link_share") < 0.3)
     records = (x("link_share") < 0.1) & ((x("times") >= 0.8) | ((x("labels") > 0.4) & (x("distinct") > 0.45)) | ((x("digits") > 0.2) & (x("prices") < 0.02) & (x("models") < 0.05)))
     short = (written < 8) & (x("link_share") == 0)
@@ -101,7 +106,7 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     """How likely each page is spam: page_id, page_score (of the trees) and score (smoothed by the host's rate).
 
     Method: features of every page are computed once; weak labels name the clear cases; bagged decision trees (bootstrap
-    samples, all features at every node) learn from at most `most_training` of either class, chosen by a hash of the id;
+    samples, all features at every node) learn from at most `most_training` of either class, chosen by a hash of the id, both classes weighing the same;
     all pages are scored; the rate of each host, over all its pages and drawn towards the overall rate, shifts the
     doubtful ones. If one class has no clear case, its absence is the result: all pages get the score of the other.
 
@@ -109,10 +114,10 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     are scored alike. Extra columns are ignored; an empty table gives no rows.
     """
     rows = pages.select(F.col(page_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
-    rows = page_features(rows, "text").select("id", "host", "f", (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("written"))
-    rows = materialize(rows.withColumn("label", weak_label()), "page-features")
+    rows = page_features(rows, "text").select("id", "host", "f", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("written"))
+    rows = materialize(rows.withColumn("label", F.when(F.col("written"), weak_label())), "page-features")
     names = rows.schema["f"].dataType.names
-    counts = {r["label"]: r["count"] for r in rows.where("written and label is not null").groupBy("label").count().collect()}
+    counts = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
     if len(counts) < 2:
         only = float(next(iter(counts), 0.0))
         return rows.select(F.col("id").alias(page_id), F.when(F.col("written"), only).otherwise(0.0).alias("page_score"), F.when(F.col("written"), only).otherwise(0.0).alias("score"))
@@ -120,8 +125,10 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     drawn = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1_000_000)) < share * 1_000_000
     assembler = VectorAssembler(inputCols=[f"f_{x}" for x in names], outputCol="features")
     flat = lambda df: assembler.transform(df.select("*", *(F.col(f"f.{x}").alias(f"f_{x}") for x in names)))
-    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True, minInstancesPerNode=2, seed=7)
-    model = forest.fit(flat(rows.where("written and label is not null").where(drawn)).select("features", "label"))
+    forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True, weightCol="weight", seed=7)
+    drawn_counts = {k: min(n, most_training) for k, n in counts.items()}
+    weight = F.when(F.col("label") == 1, 1.0 / drawn_counts[1.0]).otherwise(1.0 / drawn_counts[0.0]) * min(drawn_counts.values())
+    model = forest.fit(flat(rows.where("label is not null").where(drawn)).select("features", "label", weight.alias("weight")))
 
     p = vector_to_array(F.col("probability"))[1]
     scored = model.transform(flat(rows)).select("id", "host", F.when(F.col("written"), p).otherwise(0.0).alias("page_score"))

@@ -1,0 +1,137 @@
+import random
+
+import numpy as np
+
+from evidra.llm.leaks import LEAST, build_index, candidates, leaks, longest_stretch, words_of
+from evidra.llm.spam import page_features, spam_scores, weak_label
+from evidra.llm.svd import randomised_svd
+
+
+def words(rng, n, k=4000):
+    return [f"w{rng.randrange(k)}" for _ in range(n)]
+
+
+def disguise(rng, text):
+    kind = rng.randrange(5)
+    if kind == 0:
+        return text.upper()
+    if kind == 1:
+        return "".join(chr(ord(c) + 0xFEE0) if c.isalnum() and rng.random() < 0.5 else c for c in text)
+    if kind == 2:
+        return " ".join(f"<b>{w}</b>" if rng.random() < 0.2 else w for w in text.split())
+    if kind == 3:
+        return "- " + text.replace(" ", "\n- ", 3).replace(" ", "  \n  ", 2)
+    return ", ".join(text.split())
+
+
+def perturb(rng, stretch):
+    out, since = [], 8
+    for w in stretch:
+        if since >= 8 and rng.random() < 0.3:
+            since = 0
+            kind = rng.randrange(3)
+            out += [] if kind == 0 else ["other"] if kind == 1 else ["added", w]
+            continue
+        out.append(w)
+        since += 1
+    return out
+
+
+def test_planted_leaks_are_found_and_nothing_else(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(words(rng, rng.randrange(50, 141)))) for i in range(30)] + [(98, "too short"), (99, None)]
+    docs, truth = [], set()
+    for d in range(300):
+        text = words(rng, rng.randrange(0, 200), 6000)
+        kind = rng.randrange(4)
+        if kind == 0:
+            i = rng.randrange(30)
+            item = items[i][1].split()
+            n = rng.randrange(LEAST, len(item) + 1)
+            a = rng.randrange(len(item) - n + 1)
+            leak = perturb(rng, item[a : a + n])
+            at = rng.randrange(len(text) + 1)
+            docs.append((d, " ".join(text[:at]) + "\n" + disguise(rng, " ".join(leak)) + "\n" + " ".join(text[at:])))
+            truth.add((d, i))
+        elif kind == 1:
+            item = items[rng.randrange(30)][1].split()
+            docs.append((d, " ".join(text + item[5:22] + text)))
+        else:
+            docs.append((d, " ".join(text)))
+    docs += [(1000, None), (1001, ""), (1002, "x " * 60_000 + items[0][1]), (1003, items[1][1]), (1003, items[1][1]), (None, items[2][1])]
+    truth |= {(1002, 0), (1003, 1)}
+    df = spark.createDataFrame([(*r, 0, "") for r in docs], "doc_id long, text string, id int, at string")
+    it = spark.createDataFrame([*items, items[0]], "item_id long, text string")
+    got = [tuple(r) for r in leaks(df, "doc_id", "text", it, "item_id", "text").collect()]
+    assert len(got) == len({*got}) and {*got} == truth
+
+    index = build_index(df, "text", it, "item_id", "text", rank=12)
+    tokens = [np.array([index.words.get(w, len(index.squares) - 1) for w in words_of(t)], np.int32) for _, t in docs]
+    near = {(docs[d][0], index.ids[k]) for d, _, k in candidates(tokens, index)}
+    assert len(truth & near) >= 0.9 * len(truth)  # a space of fewer dimensions than items
+
+    empty = df.limit(0)
+    assert leaks(empty, "doc_id", "text", it, "item_id", "text").collect() == []
+    assert leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").collect() == []
+
+
+def test_stretches():
+    item = list(range(40))
+    assert longest_stretch(item, item) == 40 and longest_stretch([], item) == 0 and longest_stretch(item[3:20], item) == 17 + 2
+    assert longest_stretch(item[:10] + [-1] + item[11:30], item) == 31
+    assert longest_stretch(item[:10] + [-1, -1] + item[12:30], item) < 25
+    assert longest_stretch(item[:10] + item[11:30], item) == 31 and longest_stretch(item[:10] + [-1] + item[10:30], item) == 31
+    assert longest_stretch(item[:12] + [-1] + item[13:17] + [-1] + item[18:24], item) < 24
+    assert words_of("A&amp;B [x_y](http://u/v) <i>c</i> ­d​e ﬁn") == ["a", "b", "x", "y", "c", "de", "fin"]
+
+
+def test_svd_finds_the_space(spark):
+    rng = np.random.default_rng(0)
+    full = rng.standard_normal((60, 5)) @ rng.standard_normal((5, 30))
+    rows = spark.createDataFrame([(list(range(30)), [float(x) for x in r]) for r in full] + [([], [])], "at array<int>, weights array<double>").repartition(3)
+    vectors, values = randomised_svd(rows, 30, 5)
+    exact = np.linalg.svd(full, compute_uv=False)[:5]
+    assert np.allclose(values, exact, rtol=1e-4) and np.allclose(full @ vectors @ vectors.T, full, atol=1e-6)
+
+
+PROSE = "The night analyst could not reproduce it on a second host, and the ticket was merged because the log had a gap."
+
+
+def pages(rng, n):
+    out = []
+    for i in range(n):
+        kind = i % 8
+        noun = f"tool{rng.randrange(9)} reader"
+        if kind == 0:
+            text, spam = ", ".join(rng.choice(["buy ", "cheap ", ""]) + noun for _ in range(rng.randrange(20, 60))), True
+        elif kind == 1:
+            text, spam = "\n".join(f"https://www.h{rng.randrange(999)}.example/{noun.replace(' ', '-')}" for _ in range(rng.randrange(8, 30))), True
+        elif kind == 2:
+            text, spam = " | ".join(f"Brand K-{rng.randrange(100, 999)} {rng.choice(['SALE', '$9.99', ''])}" for _ in range(rng.randrange(20, 50))), True
+        elif kind == 3:
+            text, spam = "\n".join(f"2026-01-0{rng.randrange(1, 9)} 10:{rng.randrange(10, 59)}:00 GET /a/b{rng.randrange(99)} 200 {rng.randrange(999)}" for _ in range(20)), False
+        else:
+            text, spam = " ".join(PROSE.replace("host", f"host {rng.randrange(999)}") for _ in range(rng.randrange(1, 12))), False
+        if spam and rng.random() < 0.3:
+            text += "\n" + PROSE
+        out.append((i, text, "spammy" if spam and rng.random() < 0.7 else f"s{i % 3}", spam))
+    return out
+
+
+def test_held_out_accuracy(spark):
+    rows = pages(random.Random(6), 600)
+    extra = [(9000, None, "s1", False), (9001, "", None, False), (9002, " \n ", "s2", False), (9003, PROSE, None, False), (9004, PROSE * 2000, "s0", False), (5, rows[5][1], rows[5][2], rows[5][3])]
+    df = spark.createDataFrame([(i, t, h, 1, "x") for i, t, h, _ in [*rows, *extra]], "doc_id long, text string, source string, f int, label string")
+    got = {r["doc_id"]: r["score"] for r in spam_scores(df, "doc_id", "text", "source").collect()}
+    truth = {i: s for i, _, _, s in [*rows, *extra]}
+    wrong = [i for i, s in truth.items() if (got[i] > 0.5) != s]
+    assert len(got) == len(truth) and len(wrong) <= 0.01 * len(truth), wrong
+    assert got[9000] == got[9001] == got[9002] == 0.0
+
+
+def test_one_class_or_no_rows(spark):
+    df = spark.createDataFrame([(1, PROSE, "s"), (2, None, "s")], "doc_id long, text string, source string")
+    assert {tuple(r)[1:] for r in spam_scores(df, "doc_id", "text", "source").collect()} == {(0.0, 0.0)}
+    assert spam_scores(df.limit(0), "doc_id", "text", "source").collect() == []
+    f = page_features(df, "text").withColumn("label", weak_label()).collect()
+    assert [r["label"] for r in f] == [0.0, 0.0] and all(x == x for r in f for x in r["f"])
