@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.forms import ORDER, form_of, promote
 from evidra.functions.net import canonical_address
+from evidra.functions.text import fence
 from evidra.functions.times import day_number, nanos_of_day
 from evidra.session import materialize
 from evidra.sources.w3c import FILE, WELL_QUOTED, data_lines, fields_of, header_lines
@@ -89,8 +90,8 @@ def layouts(lines: DataFrame) -> DataFrame:
     """
     headers = header_lines(lines)
     parsed = data_lines(lines, headers).where(F.col("start").isNotNull() & F.col("raw_line").rlike(WELL_QUOTED))
-    parsed = parsed.withColumn("fields", fields_of(F.col("raw_line"))).where(F.size("fields") == F.size("names"))
-    values = parsed.select(*FILE, "start", F.posexplode("fields").alias("pos", "value")).withColumn("form", form_of(F.col("value"))).where("form is not null")
+    parsed = fence(parsed, fields=fields_of(F.col("raw_line"))).where(F.size("fields") == F.size("names"))
+    values = fence(parsed.select(*FILE, "start", F.posexplode("fields").alias("pos", "value")), form=form_of(F.col("value"))).where("form is not null")
     seen = values.groupBy(*FILE, "start", "pos", "form").agg(F.count("*").alias("n"))
     seen = seen.groupBy(*FILE, "start").agg(F.array_sort(F.collect_list(F.struct("pos", "form", "n"))).alias("seen"))
     found = materialize(headers.join(seen, [*FILE, "start"], "left"), "layouts")

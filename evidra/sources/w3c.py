@@ -35,11 +35,13 @@ def data_lines(lines: DataFrame, headers: DataFrame, bucket: int = LINE_BUCKET)
     covers = headers.join(last, FILE).withColumn("upto", F.coalesce(F.col("stop") - 1, F.col("most")))
     covers = covers.where("upto >= start").withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("upto") / bucket)))).drop("most", "stop")
     data = lines.where(~F.col("raw_line").rlike(r"^(#|\s*$)") & F.col("line_no").isNotNull()).select(*FILE, "line_no", "raw_line", at.alias("b"))
-    data = data.repartition(*FILE, "b")
     within = (F.col("line_no") > F.col("start")) & (F.col("line_no") <= F.col("upto"))
-    data = data.groupBy(*FILE, "b", "line_no").agg(F.min("raw_line").alias("raw_line"))
     rows = data.alias("d").join(covers.alias("h"), [F.col(f"d.{x}") == F.col(f"h.{x}") for x in (*FILE, "b")] + [within], "left")
-    return rows.select(*(f"d.{x}" for x in (*FILE, "line_no", "raw_line")), *(f"h.{x}" for x in headers.columns if x not in (*FILE, "stop")))
+    extra = [x for x in headers.columns if x not in (*FILE, "stop")]
+    rows = rows.select(*(F.col(f"d.{x}") for x in (*FILE, "b", "line_no", "raw_line")), F.struct(*(F.col(f"h.{x}") for x in extra)).alias("layout"))
+    # grouped by more than the keys of the join, so the rows stay where they are
+    rows = rows.groupBy(*FILE, "b", "line_no").agg(F.min("raw_line").alias("raw_line"), F.first("layout").alias("layout"))
+    return rows.select(*FILE, "line_no", "raw_line", "layout.*")
 
 
 def fields_of(line: Column) -> Column:
