@@ -33,6 +33,15 @@ def form_of(c: Column) -> Column:
     return cases.otherwise("word")
 
 
+def has_form(c: Column, form: Column, kind: str) -> Column:
+    """Whether a value has the form named by another column, where that is one of the forms whose name begins with `kind`; null elsewhere."""
+    cases = F
+    for name, pattern in FORMS:
+        if name.startswith(kind):
+            cases = cases.when(form == name, c.rlike(pattern))
+    return cases.otherwise(None)
+
+
 def promote(a: str | None, b: str | None) -> str | None:
     """The least form that holds the values of both; null is below all."""
     if a is None or b is None or a == b:

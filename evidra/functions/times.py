@@ -36,10 +36,13 @@ def day_number(text: Column) -> Column:
     return F.unix_date(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))))
 
 
+#: A time of day, `HH:mm[:ss[.f]]`.
+TIME = r"^\s*([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,9})\d*)?)?Z?\s*$"
+
+
 def nanos_of_day(text: Column) -> Column:
     """Nanoseconds since midnight of `HH:mm[:ss[.f]]`, up to nine digits of fraction; null if it is no time."""
-    form = r"^\s*([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,9})\d*)?)?Z?\s*$"
-    part = lambda i: F.regexp_extract(text, form, i)
+    part = lambda i: F.regexp_extract(text, TIME, i)
     number = lambda c: F.when(c == "", F.lit(0)).otherwise(c.cast("long"))
     seconds = number(part(1)) * 3600 + number(part(2)) * 60 + number(part(3))
-    return F.when(text.rlike(form), seconds * 1_000_000_000 + F.rpad(part(4), 9, "0").cast("long"))
+    return F.when(text.rlike(TIME), seconds * 1_000_000_000 + F.rpad(part(4), 9, "0").cast("long"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.forms import form_of
+from evidra.functions.forms import has_form
 from evidra.functions.net import is_address
-from evidra.functions.times import day_number, nanos_of_day
+from evidra.functions.text import fence
+from evidra.functions.times import TIME, day_number
 from evidra.operators.drift import field, layouts
 from evidra.session import materialize
 from evidra.sources.w3c import WELL_QUOTED, data_lines, fields_of
@@ -25,16 +26,16 @@ def checked_lines(lines: DataFrame) -> DataFrame:
     known = layouts(lines).drop("changes")
     form = lambda x: F.get("forms", (F.expr(f"nullif(array_position(canonical, '{x}'), 0)") - 1).cast("int"))
     known = materialize(known.withColumn("date_form", form("date")).withColumn("time_form", form("time")), "layout-states")
-    rows = data_lines(lines, known).withColumn("fields", F.when(F.col("raw_line").rlike(WELL_QUOTED), fields_of(F.col("raw_line"))))
-    status, client, date, time = field(("sc-status",)), field(("c-ip",)), field(("date",)), field(("time",))
-    off = lambda v, name, kind: F.col(name).startswith(kind) & (form_of(v) != F.col(name))
+    rows = fence(data_lines(lines, known), fields=F.when(F.col("raw_line").rlike(WELL_QUOTED), fields_of(F.col("raw_line"))))
+    rows = fence(rows, _status=field(("sc-status",)), _client=field(("c-ip",)), _date=field(("date",)), _time=field(("time",)))
+    date, time = F.col("_date"), F.col("_time")
     bad = [
-        ~status.rlike(r"^[1-5]\d\d$"),
-        ~is_address(client),
-        day_number(date).isNull() & date.isNotNull(),
-        off(date, "date_form", "date"),
-        nanos_of_day(time).isNull() & time.isNotNull(),
-        off(time, "time_form", "time"),
+        ~F.col("_status").rlike(r"^[1-5]\d\d$"),
+        ~is_address(F.col("_client")),
+        date.isNotNull() & day_number(date).isNull(),
+        ~has_form(date, F.col("date_form"), "date"),
+        ~time.rlike(TIME),
+        ~has_form(time, F.col("time_form"), "time"),
     ]
     wrong = F.lit(False)
     for x in bad:
@@ -44,4 +45,4 @@ def checked_lines(lines: DataFrame) -> DataFrame:
         .when(F.col("start").isNull() | (F.size("fields") != F.size("names")), "columns")
         .when(wrong, "value")
     )
-    return rows.select("site", "source_log", "line_no", "raw_line", "fields", "canonical", reason.alias("reason"))
+    return fence(rows, reason=reason).select("site", "source_log", "line_no", "raw_line", "fields", "canonical", "reason")
