@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from evidra.session import materialize
 
 #: At most so many weakly labelled rows of either class are used to train.
-MOST_TRAINING = 10_000
-TREES, DEPTH = 40, 10
+MOST_TRAINING = 40_000
+TREES, DEPTH = 50, 10
 #: How much the rate of a page's host counts against what the page's own trees say, and how many pages a host's rate is drawn to the mean by.
 HOST_WEIGHT, HOST_PRIOR = 0.15, 20
 #: Host rates go to every worker if they are at most so many; otherwise they are joined with a salt.
@@ -128,7 +128,9 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True, weightCol="weight", seed=7)
     drawn_counts = {k: min(n, most_training) for k, n in counts.items()}
     weight = F.when(F.col("label") == 1, 1.0 / drawn_counts[1.0]).otherwise(1.0 / drawn_counts[0.0]) * min(drawn_counts.values())
-    model = forest.fit(flat(rows.where("label is not null").where(drawn)).select("features", "label", weight.alias("weight")))
+    # a fixed order, so that the bootstrap samples don't depend on how the rows were laid out
+    training = rows.where("label is not null").where(drawn).repartition(8, "id").sortWithinPartitions("id")
+    model = forest.fit(flat(training).select("features", "label", weight.alias("weight")))
 
     p = vector_to_array(F.col("probability"))[1]
     scored = model.transform(flat(rows)).select("id", "host", F.when(F.col("written"), p).otherwise(0.0).alias("page_score"))
