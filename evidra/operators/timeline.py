@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.operators.rules import render
+
 COLUMNS = ("datetime", "timezone", "macb", "source", "sourcetype", "type", "user_name", "host", "short", "descr", "version", "filename", "inode", "notes", "format", "extra")
 #: The time of undated events, and of alerts, which sort last.
 UNDATED, ALERT_TIME = "1970-01-01 00:00:00.000000", "9999-12-31 23:59:59.999999"
@@ -52,44 +54,39 @@ def events(df: DataFrame, ts: Column, keep_undated: bool = False, **cols: Column
     return rows.select(*(F.coalesce(x if isinstance(x := made.get(c, ""), Column) else F.lit(x), F.lit("")).alias(c) for c in COLUMNS))
 
 
-def _pairs(**values: Column) -> Column:
-    return F.concat_ws("; ", *(F.concat(F.lit(f"{k}="), v) for k, v in values.items()))
+def said(df: DataFrame, template: str, **more: Column) -> Column:
+    """A text with the columns named in braces filled in, absent and null ones empty."""
+    return render(template, df.columns, more)
 
 
 def userassist(df: DataFrame) -> DataFrame:
     """Programs run from the shell."""
-    t = lambda x: text(df, x)
-    path = t("decoded_path")
-    return events(df, moment(df, "last_run_utc"), macb="..C.", source="Registry", sourcetype="UserAssist", type="Last Run", user_name=t("sid"), short=F.concat(F.lit("Run: "), base_name(path)),
-                  descr=F.concat(path, F.lit(", Run Count: "), t("run_count"), F.lit(", Focus: "), t("focus_time_ms")), filename=path, extra=_pairs(run_count=t("run_count"), focus_time_ms=t("focus_time_ms")))
+    return events(df, moment(df, "last_run_utc"), macb="..C.", source="Registry", sourcetype="UserAssist", type="Last Run", user_name=text(df, "sid"), short=said(df, "Run: {base}", base=base_name(text(df, "decoded_path"))),
+                  descr=said(df, "UserAssist run of {decoded_path} (RunCount: {run_count}, FocusTime: {focus_time_ms}ms)"), filename="NTUSER.DAT", extra=said(df, "run_count={run_count};focus_time_ms={focus_time_ms}"))
 
 
 def prefetch(df: DataFrame) -> DataFrame:
     """Executions with their run times."""
-    t = lambda x: text(df, x)
-    return events(df, moment(df, "run_time_utc"), macb="M...", source="Prefetch", sourcetype="Prefetch", type="Last Run", short=F.concat(F.lit("Run: "), t("executable")),
-                  descr=F.concat(t("executable"), F.lit(", Run Count: "), t("run_count")), filename=t("executable"), extra=_pairs(run_count=t("run_count"), is_baseline=t("is_baseline")))
+    return events(df, moment(df, "run_time_utc"), macb="M...", source="Prefetch", sourcetype="Prefetch", type="Last Run", short=said(df, "Run: {executable}"),
+                  descr=said(df, "Prefetch run of {executable} from {path} (RunCount: {run_count}, PrefetchFile: {prefetch_filename})"), filename=text(df, "prefetch_filename"), extra=said(df, "run_count={run_count};is_baseline={is_baseline}"))
 
 
 def bam(df: DataFrame) -> DataFrame:
     """Background-activity records; the source column names the kind."""
-    t = lambda x: text(df, x)
-    path = t("path")
-    return events(df, moment(df, "last_execution_utc"), macb="M...", source="Registry", sourcetype=t("source"), type="Last Run", user_name=t("sid"), short=F.concat(F.lit("Run: "), base_name(path)), descr=path, filename=path)
+    return events(df, moment(df, "last_execution_utc"), macb="M...", source="Registry", sourcetype=text(df, "source"), type="Last Run", user_name=text(df, "sid"), short=said(df, "Run: {base}", base=base_name(text(df, "normalized_path"))),
+                  descr=said(df, "BAM/DAM execution trace of {normalized_path}"), filename="SYSTEM")
 
 
 def shimcache(df: DataFrame) -> DataFrame:
     """Compatibility-cache entries."""
-    t = lambda x: text(df, x)
-    path = t("path")
-    return events(df, moment(df, "last_modified_utc"), macb="M...", source="Registry", sourcetype="ShimCache", type="Last Modified", short=F.concat(F.lit("ShimCache: "), base_name(path)),
-                  descr=F.concat(path, F.lit(", Executed: "), t("execution_flag")), filename=path)
+    return events(df, moment(df, "last_modified_utc"), macb="M...", source="Registry", sourcetype="ShimCache", type="Last Modified", short=said(df, "ShimCache: {base}", base=base_name(text(df, "path"))),
+                  descr=said(df, "ShimCache entry for {path} (ExecutionFlag: {execution_flag})"), filename="SYSTEM", extra=said(df, "execution_flag={execution_flag}"))
 
 
 def shellbags(df: DataFrame) -> DataFrame:
     """Folders that a user opened."""
-    path = text(df, "folder_path")
-    return events(df, moment(df, "last_write_utc"), macb="..C.", source="Registry", sourcetype="ShellBags", type="Folder Accessed", user_name=text(df, "sid"), short=F.concat(F.lit("Access Folder: "), base_name(path)), descr=path, filename=path)
+    return events(df, moment(df, "last_write_utc"), macb="M...", source="Registry", sourcetype="ShellBags", type="Folder Accessed", user_name=text(df, "sid"), short=said(df, "Access Folder: {base}", base=base_name(text(df, "folder_path"))),
+                  descr=said(df, "User browsed folder {folder_path} (MRU: {mru_path})"), filename=text(df, "source_hive"))
 
 
 def unpivot_times(df: DataFrame, times: Mapping[str, tuple[str, str]]) -> DataFrame:
@@ -100,22 +97,22 @@ def unpivot_times(df: DataFrame, times: Mapping[str, tuple[str, str]]) -> DataFr
 
 def jump_lists(df: DataFrame) -> DataFrame:
     """Recent documents: up to four times of one entry become four events."""
-    rows = unpivot_times(df, {"accessed_utc": ("..C.", "Accessed"), "created_utc": ("...B", "Created"), "modified_utc": ("M...", "Modified"), "lnk_accessed_utc": (".A..", "Link Accessed")})
-    path = text(df, "target_path")
-    return events(rows, F.col("ts"), macb=F.col("macb"), source="File", sourcetype="JumpList", type=F.col("kind"), short=F.concat(F.lit("JumpList: "), base_name(path)), descr=path, filename=path, extra=_pairs(app_id=text(df, "app_id"), type=text(df, "type")))
+    times = {"last_accessed_utc": ("..C.", "Accessed"), "lnk_created_utc": ("...B", "Created"), "lnk_modified_utc": ("M...", "Modified"), "lnk_accessed_utc": (".A..", "Link Accessed")}
+    command = F.concat(text(df, "path"), F.when(text(df, "arguments") != "", F.concat(F.lit(" "), text(df, "arguments"))).otherwise(""))
+    return events(unpivot_times(df, times), F.col("ts"), macb=F.col("macb"), source="File", sourcetype="JumpList", type=F.col("kind"), user_name=text(df, "sid"), short=said(df, "JumpList: {base}", base=base_name(text(df, "path"))),
+                  descr=said(df, "JumpList entry ({type}) appID {app_id} targets: {command}", command=command), filename=said(df, "{type} DestList"), extra=said(df, "app_id={app_id};type={type}"))
 
 
 def browser_history(df: DataFrame) -> DataFrame:
     """Visits."""
-    t = lambda x: text(df, x)
-    return events(df, moment(df, "last_visit_utc"), macb="..C.", source="Browser", sourcetype=F.concat(t("browser"), F.lit(" History")), type="Visit", user_name=t("user"), short=F.concat(F.lit("Visited: "), t("title")), descr=t("url"), filename=t("url"))
+    return events(df, moment(df, "last_visit_utc"), macb="..C.", source="Browser", sourcetype=said(df, "{browser} History"), type="Visit", user_name=text(df, "sid"), short=said(df, "Visited: {title}"),
+                  descr=said(df, "User visited URL {url} (Browser: {browser}, Profile: {profile}, VisitCount: {visit_count})"), filename=said(df, "{browser} History DB"), extra=said(df, "browser={browser};profile={profile};visit_count={visit_count}"))
 
 
 def browser_downloads(df: DataFrame) -> DataFrame:
     """Downloads."""
-    t = lambda x: text(df, x)
-    path = t("target_path")
-    return events(df, moment(df, "start_time_utc"), macb="...B", source="Browser", sourcetype=F.concat(t("browser"), F.lit(" Downloads")), type="Downloaded", user_name=t("user"), short=F.concat(F.lit("Download: "), base_name(path)), descr=t("url"), filename=path)
+    return events(df, moment(df, "start_time_utc"), macb="...B", source="Browser", sourcetype=said(df, "{browser} Downloads"), type="Downloaded", user_name=text(df, "sid"), short=said(df, "Download: {base}", base=base_name(text(df, "target_path"))),
+                  descr=said(df, "Downloaded {target_path} from {url} (Browser: {browser}, Profile: {profile}, Size: {total_bytes} bytes)"), filename=said(df, "{browser} History DB"), extra=said(df, "browser={browser};profile={profile};total_bytes={total_bytes}"))
 
 
 def json_text(json: Column, key: str) -> Column:
@@ -131,56 +128,52 @@ def short_channel(channel: Column) -> Column:
 
 def event_log(df: DataFrame) -> DataFrame:
     """Event-log rows; the user is the first of the target's and the subject's name that is a person's."""
-    t = lambda x: text(df, x)
     rows = df.withColumn("_json", F.coalesce(F.col("event_data"), F.lit("")))
     person = lambda k: F.when(~(u := json_text(F.col("_json"), k)).isin("", "-", "SYSTEM") & ~u.endswith("$"), u)
     user = F.coalesce(person("TargetUserName"), person("SubjectUserName"), F.lit(""))
-    return events(rows, moment(df, "time_created_utc"), macb="..C.", source="EventLog", sourcetype=short_channel(t("channel")), type=F.concat(F.lit("EventID: "), t("event_id")), user_name=user, host=t("computer"),
-                  short=F.concat(F.lit("Evtx: ID "), t("event_id"), F.lit(" ("), t("provider"), F.lit(")")), descr=F.concat(F.lit("Provider: "), t("provider"), F.lit(", EventData: "), F.col("_json")),
-                  filename=t("channel"), extra=_pairs(event_id=t("event_id"), provider=t("provider")))
+    return events(rows, moment(df, "time_created_utc"), macb="..C.", source="EventLog", sourcetype=short_channel(text(df, "channel")), type=said(df, "EventID: {event_id}"), user_name=user, host=text(df, "computer"), short=said(df, "Evtx: ID {event_id} ({provider})"),
+                  descr=said(df, "Provider: {provider}, EventData: {event_data}"), filename=F.concat(F.replace(text(df, "channel"), F.lit("/"), F.lit("_")), F.lit(".csv")), extra=said(df, "event_id={event_id};provider={provider}"))
 
 
 def amcache(df: DataFrame) -> DataFrame:
     """Files first seen; a file id is the hash behind four zeros."""
-    t = lambda x: text(df, x)
-    sha1 = F.regexp_replace(t("file_id"), "^0000", "")
+    sha1 = F.regexp_replace(text(df, "file_id"), "^0000", "")
     part = lambda label, v: F.when(v != "", F.concat(F.lit(f"{label}: "), v))
-    path = t("lower_case_long_path")
-    return events(df, moment(df, "last_write_utc"), macb="..C.", source="Registry", sourcetype="Amcache", type="First Seen", short=F.concat(F.lit("Amcache: "), base_name(path)),
-                  descr=F.concat_ws(", ", path, part("Publisher", t("publisher")), part("Version", t("version")), part("SHA1", sha1)), filename=path)
+    return events(df, moment(df, "last_write_utc"), macb="..C.", source="Registry", sourcetype="Amcache", type="First Seen", short=said(df, "Amcache: {name}"),
+                  descr=F.concat_ws(", ", said(df, "Amcache first-seen entry for {path}"), part("Publisher", text(df, "publisher")), part("Version", text(df, "version")), part("SHA1", sha1)),
+                  filename="Amcache.hve", extra=said(df, "is_os_component={is_os_component};sha1={sha1}", sha1=sha1))
 
 
 def scheduled_tasks(df: DataFrame, as_of: str) -> DataFrame:
     """Tasks of the two upper tiers, at the time of the analysis."""
-    t = lambda x: text(df, x)
-    tier = F.upper(F.trim(t("tier")))
-    rows = df.where(tier.isin("HIGH", "NOTABLE"))
-    return events(rows, F.lit(as_of).cast("timestamp"), macb="...B", source="File", sourcetype="ScheduledTasks", type=F.concat(F.initcap(tier), F.lit(" Task")), user_name=t("user_id"),
-                  short=F.concat(F.lit("Task: "), base_name(t("task_name"))), descr=F.concat_ws(" | ", t("task_name"), t("command"), t("arguments"), t("flags")), filename=t("task_name"))
+    tier = F.upper(F.trim(text(df, "tier")))
+    command = F.concat(text(df, "command"), F.when(text(df, "arguments") != "", F.concat(F.lit(" "), text(df, "arguments"))).otherwise(""))
+    description = F.when(text(df, "description") != "", F.concat(F.lit(" | Description: "), text(df, "description"))).otherwise("")
+    return events(df.where(tier.isin("HIGH", "NOTABLE")), F.lit(as_of).cast("timestamp"), macb="...B", source="File", sourcetype="ScheduledTasks", type=F.concat(F.initcap(tier), F.lit(" Task")), user_name=text(df, "user_id"),
+                  short=said(df, "Task: {base}", base=base_name(text(df, "task_name"))), descr=said(df, "ScheduledTask {task_name} | Cmd: {command} | Enabled: {enabled} | Flags: {flags}{rest}", command=command, rest=description),
+                  filename="tasks.csv", extra=said(df, "tier={tier};enabled={enabled}"))
 
 
 def master_file_table(df: DataFrame) -> DataFrame:
     """Files: up to four times of one record become four events, all marked modified."""
-    rows = unpivot_times(df, {"creation_time": ("M...", "Created"), "modified_time": ("M...", "Modified"), "mft_modified_time": ("M...", "MFT Modified"), "accessed_time": ("M...", "Accessed")})
-    return events(rows, F.col("ts"), macb=F.col("macb"), source="FILE", sourcetype="MFT", type=F.col("kind"), user_name="-", host="-", short=text(df, "filename"), descr=text(df, "filename"), filename=text(df, "filename"), inode=text(df, "mft_record"), format="")
+    times = {"creation_time": ("M...", "File Creation"), "modified_time": ("M...", "File Modified"), "mft_modified_time": ("M...", "MFT Record Modified"), "accessed_time": ("M...", "File Accessed")}
+    return events(unpivot_times(df, times), F.col("ts"), macb=F.col("macb"), source="FILE", sourcetype="mft_timeline.csv", type=F.col("kind"), user_name="-", host="-", short=text(df, "filename"), descr=said(df, "$MFT Record: {filename}"), format="")
 
 
 def change_journal(df: DataFrame) -> DataFrame:
     """Change-journal records: deleted before created before modified."""
     reason = text(df, "reason")
-    kind = F.when(F.lower(reason).contains("delete"), "Deleted").when(F.lower(reason).contains("create"), "Created").otherwise("Modified")
-    return events(df, moment(df, "timestamp"), macb="M...", source="USN", sourcetype="usn.csv", type=kind, short=text(df, "filename"), descr=reason, filename=text(df, "filename"), format="")
+    kind = F.when(reason.contains("FILE_DELETE"), "File Deleted").when(reason.contains("FILE_CREATE"), "File Created").otherwise("File Modified")
+    return events(df, moment(df, "timestamp"), macb="M...", source="USN", sourcetype="usn.csv", type=kind, user_name="-", host="-", short=text(df, "filename"), descr=said(df, "USN Record: {filename} ({reason})"), format="")
 
 
 def shell_access(requests: DataFrame, flagged: DataFrame, name: str = "filename") -> DataFrame:
     """Requests to flagged files: a left semi join on the base name in lower case. The flagged names are few by nature, but no hint says so: the optimizer chooses by their size."""
-    t = lambda x: text(requests, x)
     names = flagged.select(F.lower(F.col(name)).alias("_base")).where("_base <> ''").distinct()
-    rows = requests.withColumn("_base", F.lower(uri_base(t("uri_stem")))).join(names, "_base", "left_semi")
-    target = F.concat(t("uri_stem"), F.when(t("uri_query") != "", F.concat(F.lit("?"), t("uri_query"))).otherwise(""))
-    return events(rows, moment(requests, "datetime_utc"), macb="..C.", source="IIS", sourcetype="WebShellAccess", type=t("method"), user_name=t("client_ip"), host=t("host"),
-                  short=F.concat(F.lit("Web shell hit: "), t("method"), F.lit(" "), t("uri_stem"), F.lit(" ("), t("protocol_status"), F.lit(")")), descr=F.concat(t("method"), F.lit(" "), target), filename=t("uri_stem"),
-                  extra=_pairs(client_ip=t("client_ip"), status=t("protocol_status")))
+    rows = requests.withColumn("_base", F.lower(uri_base(text(requests, "uri_stem")))).join(names, "_base", "left_semi")
+    return events(rows, moment(requests, "datetime_utc"), macb="..C.", source="IIS", sourcetype="WebShellAccess", type=text(requests, "method"), user_name=text(requests, "client_ip"), host=text(requests, "host"),
+                  short=said(requests, "Web shell hit: {method} {uri_stem} ({protocol_status})"), descr=said(requests, "Request to flagged script {uri_stem} from {client_ip} (status {protocol_status}, query: {uri_query}, UA: {user_agent})"),
+                  filename=text(requests, "source_log"), extra=said(requests, "client_ip={client_ip};status={protocol_status}"))
 
 
 #: The table that each adapter reads.
@@ -210,9 +203,9 @@ def in_order(timeline: DataFrame) -> DataFrame:
 
 def with_alerts(timeline: DataFrame, hits: DataFrame) -> DataFrame:
     """The timeline and, after all dated events, one row for each hit."""
-    rows = hits.select(
-        F.lit(ALERT_TIME).alias("datetime"), F.lit("UTC").alias("timezone"), F.lit("....").alias("macb"), F.lit("ALERT").alias("source"), F.col("rule_id").alias("sourcetype"), F.col("severity").alias("type"),
-        F.lit("").alias("user_name"), F.lit("").alias("host"), F.col("title").alias("short"), F.col("evidence_detail").alias("descr"), F.lit("2").alias("version"), F.col("evidence_source").alias("filename"),
-        F.lit("").alias("inode"), F.col("timeline_search_key").alias("notes"), F.lit("safe").alias("format"), F.concat(F.lit("mitre="), F.col("mitre_technique")).alias("extra"),
-    )
+    made = {
+        "datetime": ALERT_TIME, "timezone": "UTC", "macb": "....", "source": "Behavior", "sourcetype": "DetectionEngine", "type": "ALERT", "user_name": "SYSTEM", "version": "2", "format": "safe",
+        "short": said(hits, "[{severity}] {title} ({rule_id})"), "descr": said(hits, "Evidence: {evidence_detail} | Source: {evidence_source} | MITRE: {mitre_technique}"),
+    }
+    rows = hits.select(*((v if isinstance(v := made.get(c, ""), Column) else F.lit(v)).alias(c) for c in COLUMNS))
     return timeline.unionByName(rows)

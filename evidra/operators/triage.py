@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed lists: tokens of web files that are suspicious by themselves, and those that are in company.
-STRONG_TOKENS = ("eval(request", "processstartinfo", "cmd.exe /c", "frombase64string", "assembly.load", "xp_cmdshell", "powershell -enc")
-WEAK_TOKENS = ("process.start", "base64", "request.form", "request.files", "directory.getfiles", "file.writeallbytes", "sqlconnection")
+STRONG_TOKENS = (
+    "xp_cmdshell", "system.diagnostics.process", "processstartinfo", "wscript.shell", "shell_exec(", "passthru(", "proc_open(", "popen(", "frombase64string", "runtime.getruntime().exec", "processbuilder",
+    "[reflection.assembly]", "cmd.exe /c", "cmd /c ", "powershell -", 'server.createobject("wscript',
+)
+WEAK_TOKENS = ("eval(", "assert(", "base64_decode(", "create_function(", "execute(", "executeglobal", "request.form", "request.querystring", "request.item", "$_post", "$_get", "$_request", "gzinflate(", "str_rot13(")
+#: Fixed value: how much of a web file is looked at.
+WEB_FILE_HEAD = 1 << 20
+#: Fixed lists: folders of system programs, and extensions of programs.
+SYSTEM_FOLDERS = ("\\windows\\system32\\", "\\windows\\syswow64\\", "\\windows\\winsxs\\", "\\windows\\servicing\\")
+PROGRAM_EXTENSIONS = (".exe", ".dll", ".ps1", ".bat", ".vbs")
 #: Fixed table: the bits of a change-journal reason.
 USN_REASONS = {
     0x1: "DATA_OVERWRITE", 0x2: "DATA_EXTEND", 0x4: "DATA_TRUNCATION", 0x10: "NAMED_DATA_OVERWRITE", 0x20: "NAMED_DATA_EXTEND", 0x40: "NAMED_DATA_TRUNCATION",
@@ -26,7 +34,8 @@ def tokens_in(text: Column, tokens: tuple[str, ...]) -> Column:
 
 def web_file_triage(files: DataFrame, text: str, strong: tuple[str, ...] = STRONG_TOKENS, weak: tuple[str, ...] = WEAK_TOKENS) -> DataFrame:
     """Files with strong, weak, indicators and triage: HIGH with a strong token, NOTABLE with two weak ones, INFO."""
-    rows = files.withColumn("_s", tokens_in(F.col(text), strong)).withColumn("_w", tokens_in(F.col(text), weak))
+    head = F.substring(F.col(text), 1, WEB_FILE_HEAD)
+    rows = files.withColumn("_s", tokens_in(head, strong)).withColumn("_w", tokens_in(head, weak))
     rows = rows.withColumn("strong", F.size("_s")).withColumn("weak", F.size("_w")).withColumn("indicators", F.array_join(F.concat("_s", "_w"), "|"))
     return rows.withColumn("triage", F.when(F.col("strong") > 0, "HIGH").when(F.col("weak") > 1, "NOTABLE").otherwise("INFO")).drop("_s", "_w")
 
@@ -36,17 +45,26 @@ def usn_reasons(mask: Column) -> Column:
     m = mask.cast("long")
     names = F.array(*(F.when(m.bitwiseAND(bit) != 0, name) for bit, name in USN_REASONS.items()))
     rest = m.bitwiseAND(F.lit(0xFFFFFFFF & ~reduce(lambda a, b: a | b, USN_REASONS)))
-    unknown = F.when(rest != 0, F.concat(F.lit("UNKNOWN(0x"), F.lower(F.hex(rest)), F.lit(")")))
+    unknown = F.when(rest != 0, F.concat(F.lit("UNKNOWN(0x"), F.hex(rest), F.lit(")")))
     return F.array_join(F.filter(F.concat(names, F.array(unknown)), lambda x: x.isNotNull()), "|")
 
 
 def sid_type(sid: Column) -> Column:
     """What kind of account a SID is."""
-    return (
-        F.when(sid == "S-1-5-18", "LocalSystem").when(sid == "S-1-5-19", "LocalService").when(sid == "S-1-5-20", "NetworkService")
-        .when(sid.rlike(r"^S-1-5-21-\d+-\d+-\d+-500$"), "Administrator").when(sid.rlike(r"^S-1-5-21-\d+-\d+-\d+-501$"), "Guest")
-        .when(sid.startswith("S-1-5-21-"), "User").when(sid.startswith("S-1-5-80-"), "Service").otherwise("Other")
-    )
+    known = F.when(sid == "S-1-5-18", "SYSTEM").when(sid == "S-1-5-19", "LOCAL SERVICE").when(sid == "S-1-5-20", "NETWORK SERVICE")
+    for end, name in (("-500", "Administrator"), ("-501", "Guest"), ("-502", "KRBTGT"), ("-503", "DefaultAccount"), ("-504", "WDAGUtilityAccount")):
+        known = known.when(sid.endswith(end), name)
+    return known.otherwise("User Account")
+
+
+def is_baseline(path: Column) -> Column:
+    """True for programs in a system folder."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(path), F.lit(x)) for x in SYSTEM_FOLDERS])
+
+
+def is_program(name: Column) -> Column:
+    """True for names of programs and scripts."""
+    return reduce(lambda a, b: a | b, [F.lower(name).endswith(x) for x in PROGRAM_EXTENSIONS])
 
 
 def account_class(rid: Column) -> Column:
@@ -54,15 +72,14 @@ def account_class(rid: Column) -> Column:
     return F.when(rid >= 1000, "user").otherwise("built-in")
 
 
-def memory_tier(protection: Column, kind: Column, dumped: Column) -> Column:
-    """The tier of a memory region: writable code is high, other private code notable."""
-    p, private = F.upper(protection), F.upper(kind).contains("PRIVATE")
-    return F.when(p.contains("EXECUTE_READWRITE") | p.contains("EXECUTE_WRITECOPY"), "HIGH").when(p.contains("EXECUTE") & private & dumped, "NOTABLE").otherwise("LOW")
+def memory_tier(writable_code: Column, images: Column, hits: Column) -> Column:
+    """The tier of a memory region: writable code or an image in it, indicators in it."""
+    return F.when(writable_code | (images > 0), "HIGH").when(hits > 0, "NOTABLE").otherwise("LOW")
 
 
-def parser_status(outputs: Column, errors: Column, skipped: Column) -> Column:
+def parser_status(outputs: Column, errors: Column) -> Column:
     """How a parser ended."""
-    return F.when(skipped, "skipped").when((F.size(errors) > 0) & (F.size(outputs) == 0), "failed").when(F.size(errors) > 0, "partial").otherwise("success")
+    return F.when((F.size(errors) > 0) & (F.size(outputs) == 0), "failed").when(F.size(errors) > 0, "partial").when(F.size(outputs) == 0, "skipped").otherwise("success")
 
 
 def tier_counts(rows: DataFrame, tier: str) -> DataFrame:

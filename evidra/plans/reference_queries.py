@@ -48,15 +48,15 @@ _STAMP = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
 _PERSON = "CASE WHEN json_type(j, '$.{0}') = 'VARCHAR' AND (j->>'$.{0}') NOT IN ('', '-', 'SYSTEM') AND NOT ends_with(j->>'$.{0}', '$') THEN j->>'$.{0}' END"
 _EVTX_WHEN = """SELECT {when} AS datetime, 'UTC' AS timezone, '..C.' AS macb, 'EventLog' AS source, regexp_replace(coalesce(channel, ''), '^Microsoft-(Windows-)?', '') AS sourcetype,
  'EventID: ' || coalesce(event_id, '') AS type, coalesce({target}, {subject}, '') AS user_name, coalesce(computer, '') AS host, 'Evtx: ID ' || coalesce(event_id, '') || ' (' || coalesce(provider, '') || ')' AS short,
- 'Provider: ' || coalesce(provider, '') || ', EventData: ' || coalesce(event_data, '') AS descr, '2' AS version, coalesce(channel, '') AS filename, '' AS inode, '' AS notes, 'safe' AS format,
- 'event_id=' || coalesce(event_id, '') || '; provider=' || coalesce(provider, '') AS extra FROM (SELECT *, TRY_CAST(event_data AS JSON) AS j FROM evtx_rows) e"""
+ 'Provider: ' || coalesce(provider, '') || ', EventData: ' || coalesce(event_data, '') AS descr, '2' AS version, replace(coalesce(channel, ''), '/', '_') || '.csv' AS filename, '' AS inode, '' AS notes, 'safe' AS format,
+ 'event_id=' || coalesce(event_id, '') || ';provider=' || coalesce(provider, '') AS extra FROM (SELECT *, TRY_CAST(event_data AS JSON) AS j FROM evtx_rows) e"""
 _EVTX = _EVTX_WHEN.format(when=_STAMP.format("time_created_utc"), target=_PERSON.format("TargetUserName"), subject=_PERSON.format("SubjectUserName")) + " WHERE time_created_utc IS NOT NULL"
 _BASE = "regexp_extract(regexp_replace({0}, '/+$', ''), '([^/]*)$', 1)"
 _SHELLS = f"(SELECT DISTINCT lower({_BASE.format('uri_stem')}) AS name FROM iis_requests WHERE starts_with(uri_stem, '/upload/') AND upper(method) = 'POST' AND {_BASE.format('uri_stem')} <> '')"
 _STATUS = "coalesce(CAST(protocol_status AS VARCHAR), '')"
 _SHELL_EVENTS = f"""SELECT {_STAMP.format('datetime_utc')} AS datetime, 'UTC' AS timezone, '..C.' AS macb, 'IIS' AS source, 'WebShellAccess' AS sourcetype, coalesce(method, '') AS type, coalesce(client_ip, '') AS user_name, coalesce(host, '') AS host,
- 'Web shell hit: ' || coalesce(method, '') || ' ' || coalesce(uri_stem, '') || ' (' || {_STATUS} || ')' AS short, coalesce(method, '') || ' ' || coalesce(uri_stem, '') || CASE WHEN coalesce(uri_query, '') <> '' THEN '?' || uri_query ELSE '' END AS descr,
- '2' AS version, coalesce(uri_stem, '') AS filename, '' AS inode, '' AS notes, 'safe' AS format, 'client_ip=' || coalesce(client_ip, '') || '; status=' || {_STATUS} AS extra
+ 'Web shell hit: ' || coalesce(method, '') || ' ' || coalesce(uri_stem, '') || ' (' || {_STATUS} || ')' AS short, 'Request to flagged script ' || coalesce(uri_stem, '') || ' from ' || coalesce(client_ip, '') || ' (status ' || {_STATUS} || ', query: ' || coalesce(uri_query, '') || ', UA: ' || coalesce(user_agent, '') || ')' AS descr,
+ '2' AS version, coalesce(source_log, '') AS filename, '' AS inode, '' AS notes, 'safe' AS format, 'client_ip=' || coalesce(client_ip, '') || ';status=' || {_STATUS} AS extra
  FROM iis_requests WHERE datetime_utc IS NOT NULL AND lower({_BASE.format("coalesce(uri_stem, '')")}) IN (SELECT name FROM {_SHELLS})"""
 
 
@@ -87,10 +87,8 @@ def timeline_union_sort(spark: SparkSession, sf: str) -> DataFrame:
 def timeline_default_epoch(spark: SparkSession, sf: str) -> DataFrame:
     """Events without a time at the epoch."""
     e = read_table(spark, sf, "evtx_rows")
-    t = lambda x: tl.text(e, x)
-    return tl.events(e, tl.moment(e, "time_created_utc"), keep_undated=True, macb="..C.", source="EventLog", sourcetype=tl.short_channel(t("channel")), type=F.concat(F.lit("EventID: "), t("event_id")), host=t("computer"),
-                     short=F.concat(F.lit("Evtx: ID "), t("event_id"), F.lit(" ("), t("provider"), F.lit(")")), descr=F.concat(F.lit("Provider: "), t("provider"), F.lit(", EventData: "), t("event_data")),
-                     filename=t("channel"), extra=F.concat(F.lit("event_id="), t("event_id"), F.lit("; provider="), t("provider")))
+    return tl.events(e, tl.moment(e, "time_created_utc"), keep_undated=True, macb="..C.", source="EventLog", sourcetype=tl.short_channel(tl.text(e, "channel")), type=tl.said(e, "EventID: {event_id}"), host=tl.text(e, "computer"), short=tl.said(e, "Evtx: ID {event_id} ({provider})"),
+                     descr=tl.said(e, "Provider: {provider}, EventData: {event_data}"), filename=F.concat(F.replace(tl.text(e, "channel"), F.lit("/"), F.lit("_")), F.lit(".csv")), extra=tl.said(e, "event_id={event_id};provider={provider}"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, strftime(u.ts, '%Y-%m-%d %H:%M:%S.%f') AS datetime, u.macb, u.kind FROM (SELECT l.*, o_orderdate FROM lineitem l JOIN orders ON o_orderkey = l_orderkey) x,
@@ -152,7 +150,7 @@ def timeline_trigram_search(spark: SparkSession, sf: str) -> DataFrame:
     return search.trigram_search(search.trigram_index(t, "event_id", search.SEARCHED), t, "event_id", search.SEARCHED, "SchTasks")
 
 
-@query(f"""SELECT * FROM ({_EVTX}) UNION ALL SELECT '9999-12-31 23:59:59.999999', 'UTC', '....', 'ALERT', 'L-1', 'HIGH', '', '', 'Log cleared', coalesce(event_id, '') || ' on ' || coalesce(computer, ''), '2', 'evtx_rows', '', coalesce(computer, ''), 'safe', 'mitre=T1070'
+@query(f"""SELECT * FROM ({_EVTX}) UNION ALL SELECT '9999-12-31 23:59:59.999999', 'UTC', '....', 'Behavior', 'DetectionEngine', 'ALERT', 'SYSTEM', '', '[HIGH] Log cleared (L-1)', 'Evidence: ' || coalesce(event_id, '') || ' on ' || coalesce(computer, '') || ' | Source: evtx_rows | MITRE: T1070', '2', '', '', '', 'safe', ''
  FROM evtx_rows WHERE event_id = '1102'""")
 def alerts_injected(spark: SparkSession, sf: str) -> DataFrame:
     """The timeline with its alerts at the end."""
@@ -317,7 +315,7 @@ _BITS = ", ".join(f"CASE WHEN (m & {bit}) <> 0 THEN '{name}' END" for bit, name
 _REST = 0xFFFFFFFF & ~reduce(lambda a, b: a | b, triage.USN_REASONS)
 
 
-@query(f"SELECT o_orderkey, concat_ws('|', {_BITS}, CASE WHEN (m & {_REST}) <> 0 THEN 'UNKNOWN(0x' || lower(to_hex(m & {_REST})) || ')' END) AS reason FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS m FROM orders)")
+@query(f"SELECT o_orderkey, concat_ws('|', {_BITS}, CASE WHEN (m & {_REST}) <> 0 THEN 'UNKNOWN(0x' || to_hex(m & {_REST}) || ')' END) AS reason FROM (SELECT o_orderkey, o_orderkey * 2654435761 % 4294967296 AS m FROM orders)")
 def usn_bitmask(spark: SparkSession, sf: str) -> DataFrame:
     """Masks as the names of their bits."""
     return read_table(spark, sf, "orders").select("o_orderkey", triage.usn_reasons(F.expr("o_orderkey * 2654435761L % 4294967296L")).alias("reason"))
@@ -453,13 +451,13 @@ def folder_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(m.path, f.path) AS path, expected, actual, CASE WHEN actual IS NULL THEN 'missing' WHEN expected IS NULL THEN 'extra' WHEN expected = actual THEN 'ok' ELSE 'mismatch' END AS status
- FROM (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS expected FROM documents WHERE lang IS NOT NULL) m FULL JOIN (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(trim(coalesce(text, ''))) AS actual FROM documents WHERE n_chars > 0) f ON m.path = f.path""")
+ FROM (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS expected FROM documents WHERE lang IS NOT NULL) m FULL JOIN (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(replace(coalesce(text, ''), chr(10) || chr(10), chr(10))) AS actual FROM documents WHERE n_chars > 0) f ON m.path = f.path""")
 def manifest_reconcile(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest beside what is there."""
     d = read_table(spark, sf, "documents")
     text = F.coalesce("text", F.lit(""))
     manifest = d.where("lang is not null").select(F.col("doc_id").cast("string").alias("path"), F.sha2(text, 256).alias("sha256"))
-    files = d.where("n_chars > 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.trim(text), 256).alias("sha256"))
+    files = d.where("n_chars > 0").select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.replace(text, F.lit("\n\n"), F.lit("\n")), 256).alias("sha256"))
     return integrity.reconcile(manifest, files)
 
 

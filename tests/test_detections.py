@@ -120,7 +120,7 @@ def test_brute_force_without_fails(spark):
 def test_adapters_take_missing_columns_and_bad_times(spark):
     tables = {
         "userassist": spark.createDataFrame([("2026-01-01T00:00:00Z", "C:\\a\\B.exe", "S-1"), ("junk", "x", "y"), (None, None, None)], "last_run_utc string, decoded_path string, sid string"),
-        "jump_lists": spark.createDataFrame([("2026-01-01 00:00:01.5", None, "2026-01-02T00:00:00+02:00", "D:/x/y.doc")], "accessed_utc string, created_utc string, modified_utc string, target_path string"),
+        "jump_lists": spark.createDataFrame([("2026-01-01 00:00:01.5", None, "2026-01-02T00:00:00+02:00", "D:/x/y.doc")], "last_accessed_utc string, lnk_created_utc string, lnk_modified_utc string, path string"),
         "usn": spark.createDataFrame([("2026-01-01 00:00:00", "f", "FILE_CREATE|FILE_DELETE"), ("2026-01-01 00:00:00", "f", None)], "timestamp string, filename string, reason string"),
         "tasks": spark.createDataFrame([(" high", "\\T\\x"), ("LOW", "y")], "tier string, task_name string"),
         "prefetch": spark.createDataFrame([("a",)], "executable string"),
@@ -128,7 +128,7 @@ def test_adapters_take_missing_columns_and_bad_times(spark):
     rows = timeline.in_order(timeline.build_timeline(tables, "2026-03-01 00:00:00")).collect()
     assert sorted((r["datetime"], r["sourcetype"], r["type"], r["short"]) for r in rows) == sorted([
         ("2026-01-01 00:00:00.000000", "UserAssist", "Last Run", "Run: B.exe"), ("2026-01-01 00:00:01.500000", "JumpList", "Accessed", "JumpList: y.doc"), ("2026-01-01 22:00:00.000000", "JumpList", "Modified", "JumpList: y.doc"),
-        ("2026-01-01 00:00:00.000000", "usn.csv", "Deleted", "f"), ("2026-01-01 00:00:00.000000", "usn.csv", "Modified", "f"), ("2026-03-01 00:00:00.000000", "ScheduledTasks", "High Task", "Task: x"),
+        ("2026-01-01 00:00:00.000000", "usn.csv", "File Deleted", "f"), ("2026-01-01 00:00:00.000000", "usn.csv", "File Modified", "f"), ("2026-03-01 00:00:00.000000", "ScheduledTasks", "High Task", "Task: x"),
     ])
 
 
