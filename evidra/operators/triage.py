@@ -69,7 +69,7 @@ def is_program(name: Column) -> Column:
 
 def account_class(rid: Column) -> Column:
     """Built-in accounts have ids below 1000."""
-    return F.when(rid >= 1000, "user").otherwise("built-in")
+    return F.when(rid >= 1000, "local (created on host)").otherwise("built-in")
 
 
 def memory_tier(writable_code: Column, images: Column, hits: Column) -> Column:
@@ -110,8 +110,8 @@ def webkit_time(us: Column) -> Column:
 
 
 def device_path(path: Column) -> Column:
-    """A device path as one on drive C."""
-    return F.regexp_replace(path, r"(?i)^\\Device\\HarddiskVolume\d+", "C:")
+    """A device path in one spelling; the number of the volume stays."""
+    return F.regexp_replace(path, r"(?i)^\\device\\harddiskvolume(?=[^\\]*\\)", r"\\Device\\HarddiskVolume")
 
 
 def safe_name(name: Column) -> Column:

@@ -172,6 +172,8 @@ def zip_entries(content: bytes, password: bytes | None = None) -> Iterator[tuple
 
 
 def register(spark) -> None:
-    """Make the formats mft and usn known to a session."""
-    for source in (MftSource, UsnSource):
+    """Make the formats mft, usn and hive_file known to a session."""
+    from evidra.sources.hives import HiveSource
+
+    for source in (MftSource, UsnSource, HiveSource):
         spark.dataSource.register(source)
