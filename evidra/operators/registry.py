@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.operators.triage import account_class, filetime, rot13, sid_type
+from evidra.sources.registry_names import guid_text
 
 #: Fixed table: the categories of shell counters.
 SHELL_CATEGORIES = {
@@ -139,13 +140,6 @@ def amcache(values: DataFrame, table: str) -> DataFrame:
     return made.select("last_write_utc", *columns, F.col("key_path").alias("source_key"))
 
 
-def guid_text(data: bytes) -> str:
-    """A GUID in its usual spelling."""
-    a, b, c = struct.unpack_from("<IHH", data)
-    tail = data[8:16].hex().upper()
-    return f"{a:08X}-{b:04X}-{c:04X}-{tail[:4]}-{tail[4:]}"
-
-
 def shell_item(data: bytes) -> str:
     """The name in a shell item: a known folder, a drive, or a file entry with its long name if it has one; empty for others."""
     if len(data) < 3:

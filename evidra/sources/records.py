@@ -172,8 +172,9 @@ def zip_entries(content: bytes, password: bytes | None = None) -> Iterator[tuple
 
 
 def register(spark) -> None:
-    """Make the formats mft, usn and hive_file known to a session."""
+    """Make the formats mft, usn, hive_file and evtx known to a session."""
+    from evidra.sources.event_logs import EventLogSource
     from evidra.sources.hives import HiveSource
 
-    for source in (MftSource, UsnSource, HiveSource):
+    for source in (MftSource, UsnSource, HiveSource, EventLogSource):
         spark.dataSource.register(source)
