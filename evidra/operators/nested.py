@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 from evidra.session import materialize
 from evidra.sources.xml_records import xml_to_json
 
-#: Elements nested deeper than this are an error in the data rather than a structure to be flattened.
-DEEPEST = 40
-
-
 def merged_schema(depth: int) -> T.StructType:
     """The schema that holds every element down to `depth`: one struct per level, with an array of the next."""
     fields = [T.StructField("n", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("t", T.StringType()), T.StructField("a", T.MapType(T.StringType(), T.StringType()))]
@@ -27,7 +23,7 @@ def level_tables(records: DataFrame, key: str, text: str) -> list[DataFrame]:
     """One flat table for each level of nesting of the XML texts, the roots first.
 
     Method: every record is parsed once; the merged schema of all of them is inferred (one struct per level, as deep
-    as the deepest record); each array level is exploded from the one above. Columns: the key, node_id and parent_id
+    as the deepest record, at most DEEPEST); each array level is exploded from the one above. Columns: the key, node_id and parent_id
     (surrogate keys: the ordinals from the root down, joined by points), ordinal (from 1 among all element children of
     the parent), same_name_ordinal, name, text, attributes, and `trail`, the name and ordinals of each element from
     the root down. Texts that are null, empty or not well-formed give no rows; a table without readable texts gives
@@ -37,8 +33,6 @@ def level_tables(records: DataFrame, key: str, text: str) -> list[DataFrame]:
     parsed = once.select("key", xml_to_json(F.col("x")).alias("x")).select("key", "x.json", "x.depth").where("json is not null")
     parsed = materialize(parsed, "xml-records")
     depth = parsed.agg(F.max("depth")).first()[0] or 0
-    if depth > DEEPEST:
-        raise ValueError(f"elements are nested {depth} deep; at most {DEEPEST} are flattened")
     tables = []
     if depth:
         step = lambda: F.array(F.struct(F.col("e.n").alias("name"), F.col("e.p").alias("ordinal"), F.col("e.k").alias("same")))

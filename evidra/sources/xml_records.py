@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Elements nested deeper than this are checked for being well-formed but not kept.
+DEEPEST = 40
 _DECLARATION = re.compile(r"^<\?xml\s[^>]*\?>")
 
 
@@ -18,7 +20,7 @@ def parse_xml(text: str | None) -> tuple[str | None, int]:
 
     Each element is {n: name without prefix, p: place among the element children of its parent, k: place among those
     of its name, t: its own text, a: attributes, c: element children}. The declaration and a byte-order mark are of no
-    account, comments count for nothing, CDATA is text.
+    account, comments count for nothing, CDATA is text. Elements below DEEPEST levels are left out.
     """
     if not text:
         return None, 0
@@ -34,9 +36,10 @@ def parse_xml(text: str | None) -> tuple[str | None, int]:
         so_far[name] = so_far.get(name, 0) + 1
         node = {"n": name, "p": len(siblings) + 1, "k": so_far[name], "t": "", "a": attributes, "c": []}
         seen.append({})
-        siblings.append(node)
+        if len(stack) <= DEEPEST:
+            siblings.append(node)
+            depth = max(depth, len(stack))
         stack.append(node)
-        depth = max(depth, len(stack) - 1)
 
     def end(_: str) -> None:
         node = stack.pop()

@@ -29,6 +29,7 @@ def test_levels_name_their_parents(spark):
 
 def test_long_and_odd_xml():
     assert parse_xml("<a>" + "<b/>" * 50_000 + "</a>")[1] == 2
+    assert parse_xml("<a>" * 5000 + "</a>" * 5000)[1] == 40 and parse_xml("<a>" * 5000 + "</a>" * 4999) == (None, 0)
     assert parse_xml("<a>&undefined;</a>") == (None, 0) == parse_xml("text") == parse_xml("<a>\x01</a>")
 
 
