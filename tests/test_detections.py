@@ -63,7 +63,9 @@ def machine(events, within, backward):
     return sorted(hits)
 
 
-def test_sequences_like_a_state_machine(spark):
+@pytest.mark.parametrize("bucket", [1, 2, 64])
+def test_sequences_like_a_state_machine(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sequences, "BUCKET", bucket)
     rng = random.Random(9)
     rows = []
     for e in range(40):
