@@ -86,7 +86,8 @@ def canonical_address(c: Column) -> Column:
     first = F.regexp_replace(F.split_part(c, F.lit(","), F.lit(1)), rf'^(?:{BLANKS}|")|(?:{BLANKS}|")$', "")
     plain = F.lower(F.regexp_replace(first, r"^\[([^\]]*)\](?::\d+)?$|^([^:]*):\d+$", "$1$2"))
     zoneless = F.regexp_replace(plain, r"%.*$", "")
-    return let(zoneless, lambda x: F.when(x.contains(":"), _v6(x)).when(is_v4(x), x))
+    # most addresses are in that spelling already
+    return F.when(is_v4(c), c).otherwise(let(zoneless, lambda x: F.when(x.contains(":"), _v6(x)).when(is_v4(x), x)))
 
 
 def is_address(c: Column) -> Column:

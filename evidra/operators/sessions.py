@@ -33,18 +33,20 @@ def sessions(df: DataFrame, key: str, time_us: str, event_id: str, gap_us: int =
     cell = Window.partitionBy("k", "b").orderBy("t")
     across = Window.partitionBy("k").orderBy("b")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    edges = moments.groupBy("k", "b").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.sum("n").alias("m"))
-    edges = edges.select(
-        "k", "b",
-        F.lag("high").over(across).alias("before"), F.lead("low").over(across).alias("after"),
-        F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
-    )
     local = moments.select(
         "k", "b", "t", "n",
         (F.count("*").over(cell.rangeBetween(-gap_us, -1)) == 0).alias("first"),
         (F.count("*").over(cell.rangeBetween(1, gap_us)) == 0).alias("last"),
         F.sum("n").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-    ).where("first or last")
+    )
+    local = materialize(local.where("first or last"), "session-candidates")
+    # the first and the last event of a bucket are among them, so they tell what the bucket holds
+    edges = local.groupBy("k", "b").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("upto").alias("m"))
+    edges = edges.select(
+        "k", "b",
+        F.lag("high").over(across).alias("before"), F.lead("low").over(across).alias("after"),
+        F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
+    )
     bounds = local.join(edges, ["k", "b"]).select(
         "k", "b", "t",
         (F.col("first") & (F.col("before").isNull() | (F.col("t") - F.col("before") > gap_us))).alias("first"),
