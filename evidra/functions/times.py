@@ -33,7 +33,7 @@ def day_number(text: Column) -> Column:
         F.when(t.rlike(ymd), F.regexp_replace(t, ymd, "$1-$3-$4"))
         .when(t.rlike(dmy), F.regexp_replace(t, dmy, "$3-$2-$1"))
     )
-    return F.unix_date(F.to_date(F.try_to_timestamp(iso, F.lit("yyyy-MM-dd"))))
+    return F.unix_date(iso.try_cast("date"))
 
 
 #: A time of day, `HH:mm[:ss[.f]]`.
@@ -42,7 +42,8 @@ TIME = r"^\s*([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,9})\d*)?)?Z?\s*$
 
 def nanos_of_day(text: Column) -> Column:
     """Nanoseconds since midnight of `HH:mm[:ss[.f]]`, up to nine digits of fraction; null if it is no time."""
-    part = lambda i: F.regexp_extract(text, TIME, i)
-    number = lambda c: F.when(c == "", F.lit(0)).otherwise(c.cast("long"))
-    seconds = number(part(1)) * 3600 + number(part(2)) * 60 + number(part(3))
-    return F.when(text.rlike(TIME), seconds * 1_000_000_000 + F.rpad(part(4), 9, "0").cast("long"))
+    t = F.trim(text)
+    number = lambda at, size: F.coalesce(F.substring(t, at, size).try_cast("long"), F.lit(0))
+    seconds = number(1, 2) * 3600 + number(4, 2) * 60 + number(7, 2)
+    fraction = F.when(F.length(t) > 9, F.rpad(F.regexp_replace(F.substring(t, 10, 9), r"\D", ""), 9, "0").cast("long")).otherwise(0)
+    return F.when(t.rlike(TIME), seconds * 1_000_000_000 + fraction)
