@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import bare, squeeze
+from evidra.functions.text import bare, let, squeeze
 from evidra.functions.times import day_number, nanos_of_day
 from evidra.session import materialize
 
@@ -57,20 +57,24 @@ def agglomerate(runs: list[list], least: float, gap: int | None) -> list[list]:
     return [r for r, g in zip(runs, gone) if not g]
 
 
-def event_runs(events: DataFrame, entity: str, at: str, event_id: str, reads: str, least: float = 1.0, gap: int | None = None) -> DataFrame:
+def event_runs(events: DataFrame, entity: str, at: str, event_id: str, reads: str | Column, least: float = 1.0, gap: int | None = None, using: tuple[str, ...] = ()) -> DataFrame:
     """Each run of like events of an entity as one row: entity, first_event_id, n_events, first_at, last_at.
 
     Events are range-partitioned and sorted by (entity, at, event_id), so a hot entity spreads over as many tasks as
     its rows need. Each task agglomerates its stretch batch by batch, carrying the open run along; only the first and
     last run of a task can go on in another, and these, two per task, are stitched by the same limits afterwards.
-    Neighbours are merged if their texts `reads` are at least `least` alike (1: equal) and at most `gap` apart.
+    Neighbours are merged if their texts `reads` (a column, or an expression of the columns `using`, computed after the
+    exchange and so only once) are at least `least` alike (1: equal) and at most `gap` apart.
 
     Rows with a null entity, time or id are in no run; a null text reads as empty; rows repeated with the same entity,
     time and id count once; of equal times the lesser id is first. An empty table gives no rows; other columns are ignored.
     """
-    rows = events.select(F.col(entity).alias("entity"), F.col(at).cast("long").alias("at"), F.col(event_id).cast("long").alias("id"), F.coalesce(F.col(reads), F.lit("")).alias("reads"))
-    rows = rows.where("entity is not null and at is not null and id is not null")
-    rows = rows.repartitionByRange("entity", "at", "id").sortWithinPartitions("entity", "at", "id")
+    carried = (reads,) if isinstance(reads, str) else using
+    rows = events.select(F.col(entity).alias("_entity"), F.col(at).cast("long").alias("_at"), F.col(event_id).cast("long").alias("_id"), *carried)
+    rows = rows.where("_entity is not null and _at is not null and _id is not null")
+    rows = rows.repartitionByRange("_entity", "_at", "_id").sortWithinPartitions("_entity", "_at", "_id")
+    text = F.coalesce(F.col(reads) if isinstance(reads, str) else reads, F.lit(""))
+    rows = rows.select(F.col("_entity").alias("entity"), F.col("_at").alias("at"), F.col("_id").alias("id"), text.alias("reads"))
 
     def collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -113,17 +117,23 @@ def event_runs(events: DataFrame, entity: str, at: str, event_id: str, reads: st
     return runs.where("not edge").select(*columns).unionByName(edges.select(*columns))
 
 
+def masked(sign: str, pattern: str, to: str) -> Callable[[Column], Column]:
+    """Replaces a pattern in texts that show a sign of it."""
+    return lambda t: F.when(t.rlike(sign), F.regexp_replace(t, pattern, to)).otherwise(t)
+
+
 def event_reading(sourcetype: Column, short: Column) -> Column:
     """How an event reads: type and description without letter case, blanks and numbers that only tell instances apart."""
     number = r"(?:0x[0-9a-f]+|[0-9a-f]*\d[0-9a-f]*|[0-9a-f]{12})\b"
     text = squeeze(F.coalesce(short, F.lit("")))
-    for pattern, to in (
-        (r"\{?\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b\}?", "#"),
-        (rf"\b(pid|tid|process|thread|handle|session|attempt)( ?id| ?no\.?| ?number)?([ =:#]*){number}", "$1 #"),
-        (r"(~[a-z]*?|\btmp)[0-9a-f]{4}(?=\.tmp\b)", "$1#"),
-        (r"\d+(?=\.tmp\b)", "#"),
+    # each pattern is tried only where a cheaper look finds what it needs
+    for sign, pattern, to in (
+        (r"-[0-9a-f]{12}", r"\{?\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b\}?", "#"),
+        (r"pid|tid|process|thread|handle|session|attempt", rf"\b(pid|tid|process|thread|handle|session|attempt)( ?id| ?no\.?| ?number)?([ =:#]*){number}", "$1 #"),
+        (r"\.tmp", r"(~[a-z]*?|\btmp)[0-9a-f]{4}(?=\.tmp\b)", "$1#"),
+        (r"\.tmp", r"\d+(?=\.tmp\b)", "#"),
     ):
-        text = F.regexp_replace(text, pattern, to)
+        text = let(text, masked(sign, pattern, to))
     return F.concat_ws("\x1f", squeeze(F.coalesce(sourcetype, F.lit(""))), text)
 
 
@@ -131,5 +141,5 @@ def timeline_runs(timeline: DataFrame) -> DataFrame:
     """The runs of the supertimeline, per host without letter case and outer blanks; undated events (null or 1970-01-01) and events without host are in none."""
     day = day_number(F.col("date"))
     at = F.when(day != 0, day * NANOS_A_DAY + F.coalesce(nanos_of_day(F.col("time")), F.lit(0)))
-    rows = timeline.select(F.lower(bare(F.col("host"))).alias("entity"), at.alias("at"), "event_id", event_reading(F.col("sourcetype"), F.col("short")).alias("reads"))
-    return event_runs(rows, "entity", "at", "event_id", "reads")
+    rows = timeline.select(F.lower(bare(F.col("host"))).alias("entity"), at.alias("at"), "event_id", "sourcetype", "short")
+    return event_runs(rows, "entity", "at", "event_id", event_reading(F.col("sourcetype"), F.col("short")), using=("sourcetype", "short"))
