@@ -44,6 +44,14 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
     raw = F.coalesce(F.col(text), F.lit(""))
     t, w, n, lines = F.col("_t"), F.col("_words"), F.col("_n"), F.col("_lines")
     count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
+
+    def rare(pattern: str, *signs: str) -> Column:
+        """The count of a pattern, looked for only where one of its signs stands."""
+        found = F.contains(t, F.lit(signs[0]))
+        for x in signs[1:]:
+            found = found | F.contains(t, F.lit(x))
+        return F.when(found, count(pattern)).otherwise(0.0)
+
     rows = pages.withColumn("_t", F.when(raw.rlike("[\uff01-\uff5e]"), F.translate(raw, *_WIDE)).otherwise(raw)).withColumn("_low", F.lower(t))
     rows = rows.withColumn("_bare", F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, LINKED, "")).otherwise(t))
     unlinked = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(F.regexp_replace(F.col("_low"), r"<[^<>]*>|\]\([^()]*\)", " "), LINK, " ")).otherwise(F.col("_low"))
@@ -54,7 +62,7 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
     rows = rows.withColumn("_rows", F.filter(F.split("_low", r"\n|\s[|•-]\s|<br>"), lambda x: F.trim(x) != ""))
     rows = rows.withColumn("_n", F.greatest(F.size("_words"), F.lit(1)).cast("double")).withColumn("_lines", F.greatest(count(r"\S[^\n]*(?:\n|$)"), F.lit(1.0)))
     inner = F.greatest(F.size(w) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(w, 1, inner), F.slice(w, 2, inner), lambda a, b: F.concat(a, F.lit(" "), b))
+    pairs = F.zip_with(F.slice(w, 1, inner), F.slice(w, 2, inner), lambda a, b: F.xxhash64(a, b))
     begins = F.transform("_rows", lambda x: F.regexp_extract(x, r"^[^\p{L}]*(\p{L}+(?:\s+\p{L}+)?)", 1))
     chars = F.greatest(F.length(t), F.lit(1)).cast("double")
     cells = {
@@ -66,12 +74,12 @@ def page_features(pages: DataFrame, text: str) -> DataFrame:
         "bare_distinct": F.size(F.array_distinct("_bare_words")) / F.greatest(F.size("_bare_words"), F.lit(1)),
         "sentences": count(_SENTENCE) / n,
         "link_share": (F.length(t) - F.length("_bare")) / chars,
-        "links": count(LINK) / lines,
-        "anchors": count(r"<a\s|\]\(") / lines,
-        "tags": count(r"(?:^|\s)#\p{L}") / n,
-        "trails": count(r"\s>\s") / lines,
+        "links": rare(LINK, "://", "www.") / lines,
+        "anchors": rare(r"<a\s|\]\(", "<a", "](") / lines,
+        "tags": rare(r"(?:^|\s)#\p{L}", "#") / n,
+        "trails": rare(r"\s>\s", ">") / lines,
         "separators": count(r"[,;|•/·](?:\s|$)") / n,
-        "prices": count(r"[$€£]\s?\d") / n,
+        "prices": rare(r"[$€£]\s?\d", "$", "€", "£") / n,
         "models": count(r"\b\p{Lu}{1,3}-\d{2,4}\b") / n,
         "digits": count(r"\d") / chars,
         "times": count(r"\d:\d{2}") / lines,
