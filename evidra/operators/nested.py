@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidra.functions.text import fence
 from evidra.session import materialize
 from evidra.sources.xml_records import xml_to_json
 
@@ -30,13 +31,13 @@ def level_tables(records: DataFrame, key: str, text: str) -> list[DataFrame]:
     no tables. Of repeated rows with one key one counts (the least text). Other columns are ignored.
     """
     once = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("x"))
-    parsed = once.select("key", xml_to_json(F.col("x")).alias("x")).select("key", "x.json", "x.depth").where("json is not null")
+    parsed = fence(once, x=xml_to_json(F.col("x"))).select("key", "x.json", "x.depth").where("json is not null")
     parsed = materialize(parsed, "xml-records")
     depth = parsed.agg(F.max("depth")).first()[0] or 0
     tables = []
     if depth:
         step = lambda: F.array(F.struct(F.col("e.n").alias("name"), F.col("e.p").alias("ordinal"), F.col("e.k").alias("same")))
-        level = parsed.select("key", F.from_json("json", merged_schema(depth)).alias("e"))
+        level = materialize(parsed.select("key", F.from_json("json", merged_schema(depth)).alias("e")), "nested-records")
         level = level.select("key", F.lit("1").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), "e", step().alias("trail"))
         for i in range(depth):
             if i:
