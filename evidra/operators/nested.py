@@ -12,6 +12,7 @@ from evidra.functions.text import fence
 from evidra.session import materialize
 from evidra.sources.xml_records import xml_to_json
 
+
 def merged_schema(depth: int) -> T.StructType:
     """The schema that holds every element down to `depth`: one struct per level, with an array of the next."""
     fields = [T.StructField("n", T.StringType()), T.StructField("p", T.IntegerType()), T.StructField("k", T.IntegerType()), T.StructField("t", T.StringType()), T.StructField("a", T.MapType(T.StringType(), T.StringType()))]
