@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 #: Columns of the matrix whose partial products travel together.
 BLOCK = 1024
