@@ -60,3 +60,32 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p5_found": p5_found}
+
+# --- the same in SQL, as far as SQL can say it; addresses as the test tables spell them ------------------------------
+
+_FIRST = r"regexp_replace(split_part(client_ip, ',', 1), '^\s+|\s+$', '', 'g')"
+_CLIENT = rf"""nullif(nullif(regexp_replace(lower(CASE WHEN regexp_matches({_FIRST}, '^\[.*\](:\d+)?$') THEN regexp_extract({_FIRST}, '^\[(.*)\]', 1) WHEN regexp_matches({_FIRST}, '^[0-9.]+:\d+$') THEN split_part({_FIRST}, ':', 1) ELSE {_FIRST} END), '^::ffff:(\d+\.\d+\.\d+\.\d+)$', '\1'), ''), '-')"""
+_PLAIN = r"CASE WHEN contains(x, ':') THEN regexp_replace(x, '(^|:)0+([0-9a-f])', '\1\2', 'g') ELSE x END"
+_RUN = "(?:^|:)0(?::0){{{0}}}(?::|$)"
+_SHORT = "CASE WHEN NOT contains(y, ':') OR contains(y, '::') THEN y " + " ".join(f"WHEN regexp_matches(y, '{_RUN.format(k)}') THEN regexp_replace(y, '^(.*?){_RUN.format(k)}(.*)$', '\\1::\\2')" for k in range(7, 0, -1)) + " ELSE y END"
+
+
+def _pieces(text: str, delimiters: str) -> str:
+    """The values of a packed text as a list."""
+    cells = rf"""regexp_extract_all({text}, '(?:"(?:[^"]|"")*"|[^{delimiters}"])+')"""
+    bare = r"""trim(replace(replace(replace(regexp_replace(trim(c, ' '), '(^|=)""$', '\1'), '""', chr(1)), '"', ''), chr(1), '"'), ' ')"""
+    return f"list_filter(list_transform({cells}, lambda c: {bare}), lambda c: c <> '')"
+
+
+_DELIMITERS = r";,|\t\r\n"
+_MEMBERS = " UNION ALL ".join(
+    f"SELECT 'evtx_rows' AS origin, record_id AS row_id, '{x}' AS field, {_pieces('text', _DELIMITERS + ('' if x == 'GroupMembership' else ' '))} AS vs FROM (SELECT record_id, max(j->>'$.{x}') AS text FROM e GROUP BY record_id) WHERE text IS NOT NULL AND trim(text) NOT IN ('', '-')" for x in PACKED_MEMBERS
+)
+ORACLE_SQL = {
+    "p5_found": f"""WITH r AS (SELECT DISTINCT {_SHORT} AS c, t, request_id FROM (SELECT {_PLAIN} AS y, t, request_id FROM (SELECT {_CLIENT} AS x, datetime_utc AS t, request_id FROM iis_requests))), o AS (SELECT *, lag(t) OVER w AS before FROM r WHERE c IS NOT NULL AND t IS NOT NULL WINDOW w AS (PARTITION BY c ORDER BY t, request_id)),
+ g AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before > INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY t, request_id) AS i FROM o)
+ SELECT c AS client_ip, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_requests FROM g GROUP BY c, i""",
+    "p6_found": f"""WITH e AS (SELECT record_id, TRY_CAST(event_data AS JSON) AS j FROM evtx_rows WHERE TRY_CAST(event_data AS JSON) IS NOT NULL),
+ p AS (SELECT 'timeline' AS origin, event_id AS row_id, 'extra' AS field, {_pieces('text', _DELIMITERS)} AS vs FROM (SELECT event_id, max(extra) AS text FROM timeline GROUP BY event_id) WHERE text IS NOT NULL AND trim(text) NOT IN ('', '-') UNION ALL {_MEMBERS})
+ SELECT origin, row_id, field, CAST(unnest(range(1, len(vs) + 1)) AS INTEGER) AS position, unnest(vs) AS value FROM p""",
+}
