@@ -32,4 +32,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
-ORACLE_SQL: dict[str, str] = {}
+_NUMBER = r"(?:0x[0-9a-f]+|[0-9a-f]*[0-9][0-9a-f]*|[0-9a-f]{12})\b"
+_SQUEEZED = r"trim(regexp_replace(lower(coalesce({0}, '')), '[\s\x{{a0}}]+', ' ', 'g'), ' ')"
+_READING = _SQUEEZED.format("short")
+for _pattern, _to in ((r"\{?\b[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\b\}?", "#"), (rf"\b(pid|tid|process|thread|handle|session|attempt)( ?id| ?no\.?| ?number)?([ =:#]*){_NUMBER}", r"\1 #"), (r"(~[a-z]*?|\btmp)[0-9a-f]{4}(\.tmp\b)", r"\1#\2"), (r"\d+(\.tmp\b)", r"#\1")):
+    _READING = f"regexp_replace({_READING}, '{_pattern}', '{_to}', 'g')"
+_HOST = r"lower(regexp_replace(host, '^\s+|\s+$', '', 'g'))"
+_DAY = "replace(date, '/', '-')"
+
+#: Queries that SQL can say as well.
+ORACLE_SQL: dict[str, str] = {
+    "p3_found": f"""WITH t AS (SELECT DISTINCT event_id, {_HOST} AS h, {_DAY} AS d, rpad(replace(time, '.', ''), 20, '0') AS m, {_SQUEEZED.format("sourcetype")} || chr(31) || {_READING} AS reads FROM timeline
+ WHERE host IS NOT NULL AND {_HOST} NOT IN ('', '-') AND date IS NOT NULL AND {_DAY} <> '1970-01-01'), o AS (SELECT *, lag(reads) OVER w AS before FROM t WINDOW w AS (PARTITION BY h ORDER BY d, m, event_id)),
+ g AS (SELECT *, sum(CASE WHEN before = reads THEN 0 ELSE 1 END) OVER (PARTITION BY h ORDER BY d, m, event_id) AS i FROM o)
+ SELECT arg_min(event_id, (d, m, event_id)) AS first_event_id, count(*) AS n_events FROM g GROUP BY h, i HAVING count(*) > 1""",
+}
