@@ -20,8 +20,6 @@ LEAST, SPAN = 25, 8
 #: Width and step of the windows of a document: any stretch of LEAST words with its added ones lies within one.
 WINDOW, STEP = 40, 8
 RANK = 256
-#: A window is a candidate for items at least so close to it in the latent space.
-LEAST_COSINE = 0.25
 #: The words of all items go to every worker; more than so many are refused.
 MOST_WORDS = 2_000_000
 _MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]*>", re.S)
@@ -157,17 +155,20 @@ def candidates(tokens: list[np.ndarray], index: Index) -> list[tuple[int, int, i
     """(document, first word of the window, item) of every window close to an item in the latent space.
 
     The product of a window with an item in the latent space is at least the weight of the words they share; below the
-    least weight of any leak of that item no window can hold one.
+    least weight of any leak of that item no window can hold one. Nor can one that shares fewer words with the item than
+    a leak leaves unchanged, each counted at most as often as the item has it. Neither depends on the length of the item
+    or on what else stands in the window.
     """
     out: list[tuple[int, int, int]] = []
     none, norms = len(index.squares) - 1, np.linalg.norm(index.items, axis=1)
+    unchanged = LEAST - -(-LEAST // SPAN)
     usable = np.flatnonzero(np.isfinite(index.bounds))
     if not len(usable):
         return out
     floor = index.bounds[usable].min()
     docs, starts = [], []
     for d, t in enumerate(tokens):
-        if len(t) >= LEAST - -(-LEAST // SPAN):
+        if len(t) >= unchanged:
             s = np.arange(0, max(1, len(t) - WINDOW + STEP), STEP)
             starts.append(s)
             docs.append(np.full(len(s), d))
@@ -188,9 +189,19 @@ def candidates(tokens: list[np.ndarray], index: Index) -> list[tuple[int, int, i
         for p in range(WINDOW):
             latent += index.embed[ids[:, p]]
         product = latent @ index.items.T
-        cosine = product / (np.linalg.norm(latent, axis=1)[:, None] * norms[None, :] + 1e-9)
-        for w, k in zip(*np.nonzero((product >= index.bounds[None, :]) & (cosine >= LEAST_COSINE))):
-            out.append((int(doc[some[w]]), int(start[some[w]]), int(k)))
+        # what single precision may have taken from the product
+        rounding = 1e-5 * np.linalg.norm(latent, axis=1)[:, None] * norms[None, :]
+        ids = np.sort(ids, axis=1)
+        same = np.zeros(ids.shape, np.int32)
+        for p in range(1, WINDOW):
+            same[:, p] = np.where(ids[:, p] == ids[:, p - 1], same[:, p - 1] + 1, 0)
+        close = product + rounding >= index.bounds[None, :]
+        for k in np.flatnonzero(close.any(axis=0)):
+            near = np.flatnonzero(close[:, k])
+            has, times = np.unique(index.texts[k], return_counts=True)
+            at = np.minimum(np.searchsorted(has, ids[near]), len(has) - 1)
+            shares = ((has[at] == ids[near]) & (same[near] < times[at])).sum(axis=1)
+            out += [(int(doc[w]), int(start[w]), int(k)) for w in some[near[shares >= unchanged]]]
     return out
 
 

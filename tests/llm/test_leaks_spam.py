@@ -75,6 +75,21 @@ def test_planted_leaks_are_found_and_nothing_else(spark):
     assert leaks(df, "doc_id", "text", it.limit(0), "item_id", "text").collect() == []
 
 
+def test_leaks_of_long_items_and_among_repeated_words(spark):
+    rng = random.Random(9)
+    long, other = [f"l{i}" for i in range(1000)], [f"o{i}" for i in range(140)]
+    around = [f"n{i}" for i in range(200)]
+    items = [(1, " ".join(long)), (2, " ".join(other)), (3, "o3"), (4, "l7"), *((5 + i, " ".join(long[i : i + 5])) for i in range(0, 1000, 5))]  # short items let the space tell the words of long ones apart
+    docs = [
+        (1, " ".join([*around[:90], *long[500:525], *around[90:]])), (2, " ".join([*around[:90], *perturb(rng, long[300:340]), *around[90:]])),
+        (3, " ".join(["o3"] * 100 + other[60:85] + ["o3"] * 100)), (4, " ".join(["l7"] * 100 + other[60:85] + ["l7"] * 100)),
+        (5, " ".join([*around[:90], *long[500:522], *around[90:]])), (6, " ".join(["o3"] * 100 + other[60:82] + ["o3"] * 100)), (7, "o3 " * 20_000),
+    ]
+    df = spark.createDataFrame([*docs, *((100 + i, " ".join(words(rng, 100))) for i in range(50))], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leaks(df, "doc_id", "text", it, "item_id", "text").collect()} == {(1, 1), (2, 1), (3, 2), (4, 2)}
+
+
 def test_stretches():
     item = list(range(40))
     assert longest_stretch(item, item) == 40 and longest_stretch([], item) == 0 and longest_stretch(item[3:20], item) == 17 + 2
