@@ -81,3 +81,15 @@ def test_unpack_rows(spark):
     assert len(by.pop(8)) == 50_000
     assert {k: sorted(v) for k, v in by.items()} == {1: [(1, "a=1"), (2, "b=x;y")], 5: [(1, "S1"), (1, "S1"), (2, "S2"), (3, "S3")], 6: [(1, "one")]}
     assert unpack(spark.createDataFrame([], schema), "text", "blanks").collect() == []
+
+
+def test_the_whole_dictionary_counts(spark):
+    hot = [(0, '"hot;x",' * 200_000, False)]
+    rows = [(i, '"Finance, Read Only"; Audit', False) for i in (1, 2, 3)] + [(4, "Audit, Finance, Read Only; Print Staff", False), (5, "x; hot;x", None), (6, "y, Read Only; hot;x", False), (7, '"p q"\t"p q" "p q"', True), (8, "r p q", True)]
+    expected = {4: ["Audit", "Finance, Read Only", "Print Staff"], 5: ["x", "hot;x"], 6: ["y", "Read Only", "hot;x"], 8: ["r", "p q"]}
+    df = spark.createDataFrame(hot + rows, "id long, text string, blanks boolean")
+    for bounds in ({}, {"most": 1}, {"most": 0}, {"most_chars": 6}):
+        by = {}
+        for r in unpack(df, "text", "blanks", **bounds).where("id > 3").collect():
+            by.setdefault(r["id"], []).append((r["position"], r["value"]))
+        assert {k: [v for _, v in sorted(by[k])] for k in expected} == expected, bounds
