@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidra.functions.text import fence
 from evidra.session import materialize
-from evidra.sources.xml_records import xml_to_json
+from evidra.sources.xml_records import DEEPEST, elements_below, xml_to_json
 
 
 def merged_schema(depth: int) -> T.StructType:
@@ -21,18 +23,36 @@ def merged_schema(depth: int) -> T.StructType:
     return T.StructType(fields)
 
 
+def _below(texts: DataFrame) -> DataFrame:
+    """The elements below DEEPEST levels of the texts `x` as flat rows, straight from the parser."""
+    columns = ["node_id", "parent_id", "ordinal", "same_name_ordinal", "name", "text", "attributes", "trail"]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, x in zip(batch["key"].tolist(), batch["x"]):
+                for some in elements_below(x):
+                    yield pd.DataFrame([(key, *e) for e in some], columns=["key", *columns])
+
+    kind = "node_id string, parent_id string, ordinal int, same_name_ordinal int, name string, text string, attributes string, trail string"
+    rows = materialize(texts.mapInPandas(read, f"key {dict(texts.dtypes)['key']}, {kind}"), "deep-records")
+    trail = F.from_json("trail", "array<struct<name:string,ordinal:int,same:int>>").alias("trail")
+    return rows.select("key", *columns[:-2], F.from_json("attributes", "map<string,string>").alias("attributes"), trail)
+
+
 def level_tables(records: DataFrame, key: str, text: str) -> list[DataFrame]:
-    """One flat table for each level of nesting of the XML texts, the roots first.
+    """One flat table for each level of nesting of the XML texts, the roots first, and one of all elements below DEEPEST levels.
 
     Method: every record is parsed once; the merged schema of all of them is inferred (one struct per level, as deep
-    as the deepest record, at most DEEPEST); each array level is exploded from the one above. Columns: the key, node_id and parent_id
+    as the deepest record, at most DEEPEST); each array level is exploded from the one above; what is nested deeper comes
+    as flat rows from the parser, read once more for such records. Columns: the key, node_id and parent_id
     (surrogate keys: the ordinals from the root down, joined by points), ordinal (from 1 among all element children of
     the parent), same_name_ordinal, name, text, attributes, and `trail`, the name and ordinals of each element from
     the root down. Texts that are null, empty or not well-formed give no rows; a table without readable texts gives
     no tables. Of repeated rows with one key one counts (the least text). Other columns are ignored.
     """
     once = records.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(text).alias("x"))
-    parsed = fence(once, x=xml_to_json(F.col("x"))).select("key", "x.json", "x.depth").where("json is not null")
+    deep = F.when(F.col("v.depth") >= DEEPEST, F.col("x")).alias("x")
+    parsed = fence(once, v=xml_to_json(F.col("x"))).select("key", "v.json", "v.depth", deep).where("json is not null")
     parsed = materialize(parsed, "xml-records")
     depth = parsed.agg(F.max("depth")).first()[0] or 0
     tables = []
@@ -50,6 +70,10 @@ def level_tables(records: DataFrame, key: str, text: str) -> list[DataFrame]:
                     F.col("e.n").alias("name"), F.col("e.t").alias("text"), F.col("e.a").alias("attributes"), "trail",
                 )
             )
+    if depth >= DEEPEST:
+        below = _below(parsed.where("x is not null").select("key", "x"))
+        if not below.isEmpty():
+            tables.append(below.withColumnRenamed("key", key))
     return tables
 
 

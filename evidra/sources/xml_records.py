@@ -4,27 +4,32 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from xml.parsers import expat
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements nested deeper than this are checked for being well-formed but not kept.
+#: Elements nested deeper than this are not part of the nested record; `elements_below` has them as flat rows.
 DEEPEST = 40
 _DECLARATION = re.compile(r"^<\?xml\s[^>]*\?>")
 
 
+def _bare(text: str) -> str:
+    return _DECLARATION.sub("", text.removeprefix("﻿"))
+
+
 def parse_xml(text: str | None) -> tuple[str | None, int]:
     """A well-formed XML text as JSON, and the depth of its elements; (None, 0) for any other text.
 
     Each element is {n: name without prefix, p: place among the element children of its parent, k: place among those
     of its name, t: its own text, a: attributes, c: element children}. The declaration and a byte-order mark are of no
-    account, comments count for nothing, CDATA is text. Elements below DEEPEST levels are left out.
+    account, comments count for nothing, CDATA is text. Elements below DEEPEST levels are left to `elements_below`.
     """
     if not text:
         return None, 0
-    text = _DECLARATION.sub("", text.removeprefix("﻿"))
+    text = _bare(text)
     root: dict = {"c": []}
     seen: list[dict[str, int]] = [{}]
     stack, depth = [root], 0
@@ -59,6 +64,48 @@ def parse_xml(text: str | None) -> tuple[str | None, int]:
     return json.dumps(root["c"][0], ensure_ascii=False), depth
 
 
+def elements_below(text: str, levels: int = DEEPEST, step: int = 256) -> Iterator[list[tuple]]:
+    """The elements below so many levels of a well-formed XML text, a few at a time, in the order in which they end.
+
+    Each is its node_id, parent_id, ordinal, same_name_ordinal, name, text, and, as JSON, attributes and trail. The text is
+    read in pieces of `step` characters, since the trails of one deep text may together be long.
+    """
+    text, out = _bare(text), []
+    places: list[int] = [0]
+    seen: list[dict[str, int]] = [{}]
+    # of each open element: node_id, ordinal, same_name_ordinal, name, its texts, attributes, its part of the trail
+    stack: list[tuple] = []
+
+    def start(name: str, attributes: dict) -> None:
+        name = name.rpartition(":")[2]
+        places[-1] += 1
+        seen[-1][name] = same = seen[-1].get(name, 0) + 1
+        node = f"{stack[-1][0]}.{places[-1]}" if stack else "1"
+        stack.append((node, places[-1], same, name, [], attributes, json.dumps({"name": name, "ordinal": places[-1], "same": same}, ensure_ascii=False)))
+        places.append(0)
+        seen.append({})
+
+    def end(_: str) -> None:
+        if len(stack) > levels:
+            node, place, same, name, texts, attributes, _ = stack[-1]
+            out.append((node, stack[-2][0], place, same, name, "".join(texts).strip(), json.dumps(attributes, ensure_ascii=False), f"[{','.join(x[-1] for x in stack)}]"))
+        stack.pop()
+        places.pop()
+        seen.pop()
+
+    def data(x: str) -> None:
+        if len(stack) > levels:
+            stack[-1][4].append(x)
+
+    parser = expat.ParserCreate()
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    for i in range(0, len(text), step):
+        parser.Parse(text[i : i + step], i + step >= len(text))
+        if out:
+            yield out[:]
+            out.clear()
+
+
 def _parse(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_xml(x) for x in texts], columns=["json", "depth"])
 

@@ -27,6 +27,24 @@ def test_levels_name_their_parents(spark):
     assert levels == [[("1", None, 1, "a", "t")], [("1.1", "1", 1, "b", "u"), ("1.2", "1", 2, "c", "")], [("1.2.1", "1.2", 1, "b", "")]]
 
 
+def test_elements_below_the_nested_levels_are_kept(spark):
+    def deep(levels, inner):
+        return "<Task><Triggers><BootTrigger/><CalendarTrigger>" + "<x>" * levels + inner + "</x>" * levels + "</CalendarTrigger></Triggers></Task>"
+
+    days = "<DaysOfWeek><Monday/><t:Friday xmlns:t='u' a='1'> é&amp;<b/>f </t:Friday></DaysOfWeek>"
+    df = spark.createDataFrame([(1, deep(70, days), "", "", 0), (2, deep(2, days), "", "", 0), (3, deep(36, "<y/>"), "", "", 0)], SCHEMA)
+    assert {tuple(r) for r in task_items(df, "record_id", "xml_text").collect()} == {
+        *((k, 1, "trigger", 0, i, x) for k in (1, 2, 3) for i, x in ((1, "BootTrigger"), (2, "CalendarTrigger"))), *((k, 1, "day", 2, i, x) for k in (1, 2) for i, x in ((1, "Monday"), (2, "Friday")))
+    }
+    rows = [r for t in level_tables(df, "record_id", "xml_text") for r in t.where("record_id = 1").collect()]
+    by = {r["node_id"]: r for r in rows}
+    assert len(rows) == len(by) == 4 + 70 + 4 and all(r["parent_id"] in by for r in rows if r["parent_id"])
+    friday = next(r for r in rows if r["name"] == "Friday")
+    assert (friday["ordinal"], friday["same_name_ordinal"], friday["text"], friday["attributes"]["a"], len(friday["trail"])) == (2, 1, "é&f", "1", 3 + 70 + 2)
+    assert friday["node_id"] == ".".join(str(x["ordinal"]) for x in friday["trail"]) and friday["trail"][:3] == by["1.1.2"]["trail"]
+    assert len(level_tables(df.where("record_id = 3"), "record_id", "xml_text")) == 40
+
+
 def test_long_and_odd_xml():
     assert parse_xml("<a>" + "<b/>" * 50_000 + "</a>")[1] == 2
     assert parse_xml("<a>" * 5000 + "</a>" * 5000)[1] == 40 and parse_xml("<a>" * 5000 + "</a>" * 4999) == (None, 0)
