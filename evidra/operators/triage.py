@@ -13,7 +13,7 @@ STRONG_TOKENS = (
     "[reflection.assembly]", "cmd.exe /c", "cmd /c ", "powershell -", 'server.createobject("wscript',
 )
 WEAK_TOKENS = ("eval(", "assert(", "base64_decode(", "create_function(", "execute(", "executeglobal", "request.form", "request.querystring", "request.item", "$_post", "$_get", "$_request", "gzinflate(", "str_rot13(")
-#: Fixed value: how much of a web file is looked at.
+#: Fixed value: how many characters of a web file the reference looks at.
 WEB_FILE_HEAD = 1 << 20
 #: Fixed lists: folders of system programs, and extensions of programs.
 SYSTEM_FOLDERS = ("\\windows\\system32\\", "\\windows\\syswow64\\", "\\windows\\winsxs\\", "\\windows\\servicing\\")
@@ -32,10 +32,13 @@ def tokens_in(text: Column, tokens: tuple[str, ...]) -> Column:
     return F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(F.coalesce(text, F.lit(""))), t))
 
 
-def web_file_triage(files: DataFrame, text: str, strong: tuple[str, ...] = STRONG_TOKENS, weak: tuple[str, ...] = WEAK_TOKENS) -> DataFrame:
-    """Files with strong, weak, indicators and triage: HIGH with a strong token, NOTABLE with two weak ones, INFO."""
-    head = F.substring(F.col(text), 1, WEB_FILE_HEAD)
-    rows = files.withColumn("_s", tokens_in(head, strong)).withColumn("_w", tokens_in(head, weak))
+def web_file_triage(files: DataFrame, text: str, strong: tuple[str, ...] = STRONG_TOKENS, weak: tuple[str, ...] = WEAK_TOKENS, head: int | None = None) -> DataFrame:
+    """Files with strong, weak, indicators and triage: HIGH with a strong token, NOTABLE with two weak ones, INFO.
+
+    The whole text counts, or, with `head`, so many characters of it (the reference's WEB_FILE_HEAD).
+    """
+    looked = F.col(text) if head is None else F.substring(F.col(text), 1, head)
+    rows = files.withColumn("_s", tokens_in(looked, strong)).withColumn("_w", tokens_in(looked, weak))
     rows = rows.withColumn("strong", F.size("_s")).withColumn("weak", F.size("_w")).withColumn("indicators", F.array_join(F.concat("_s", "_w"), "|"))
     return rows.withColumn("triage", F.when(F.col("strong") > 0, "HIGH").when(F.col("weak") > 1, "NOTABLE").otherwise("INFO")).drop("_s", "_w")
 

@@ -155,3 +155,11 @@ def test_reconciliation_and_masks(spark):
     assert [x[0] for x in got] == ["DATA_OVERWRITE|FILE_CREATE", "CLOSE|UNKNOWN(0x8)", "", ""]
     t = spark.sql("select 133485408000000000L as f").select(triage.filetime(F.col("f")).alias("t")).first()["t"]
     assert t.replace(tzinfo=None) == datetime.datetime(2024, 1, 1)
+
+
+def test_tokens_anywhere_in_a_web_file(spark):
+    pad = "x" * triage.WEB_FILE_HEAD
+    files = spark.createDataFrame([(1, pad + " XP_cmdshell"), (2, "eval( " + pad + " $_post"), (3, pad), (4, None), (5, "popen(")], "id int, text string")
+    got = lambda **head: {r["id"]: (r["strong"], r["weak"], r["triage"]) for r in triage.web_file_triage(files, "text", **head).collect()}
+    assert got() == {1: (1, 0, "HIGH"), 2: (0, 2, "NOTABLE"), 3: (0, 0, "INFO"), 4: (0, 0, "INFO"), 5: (1, 0, "HIGH")}
+    assert got(head=triage.WEB_FILE_HEAD) == {1: (0, 0, "INFO"), 2: (0, 1, "INFO"), 3: (0, 0, "INFO"), 4: (0, 0, "INFO"), 5: (1, 0, "HIGH")}
