@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from evidra.operators.triage import memory_tier
 
-#: The shortest string, the most images of a region, the machines of images.
-SHORTEST, MOST_IMAGES = 6, 16
+#: The shortest string, the machines of images.
+SHORTEST = 6
 MACHINES = {0x14C: "x86", 0x8664: "x64", 0x1C0: "arm", 0x1C4: "armnt", 0xAA64: "arm64"}
 #: Fixed patterns and list: indicators in strings.
 URL, QUAD, SHARE = r"https?://[^\s\"'<>|]+", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"\\\\[A-Za-z0-9._$-]+\\[^\s\"'<>|]+"
@@ -29,7 +29,7 @@ def images(data: bytes) -> list[tuple[int, str, bool, int]]:
     """(offset, machine, is a library, size) of each program image; what lies inside of one is not looked at."""
     out: list[tuple[int, str, bool, int]] = []
     at = data.find(b"MZ")
-    while at >= 0 and len(out) < MOST_IMAGES:
+    while at >= 0:
         step = 1
         if at + 0x40 <= len(data):
             head = at + struct.unpack_from("<I", data, at + 0x3C)[0]

@@ -44,3 +44,12 @@ def test_regions(spark):
     blobs = spark.createDataFrame([("p1", bytearray(data)), ("p2", bytearray(b"just http://x.example and text"))], "path string, content binary")
     got = {r["pid"]: (r["tier"], r["n_images"], r["hits"]) for r in memory.scan_regions(regions, blobs).collect()}
     assert got == {1: ("HIGH", 0, 0), 2: ("HIGH", 1, 4), 3: ("NOTABLE", 0, 1), 4: ("LOW", 0, 0)}
+
+
+def test_every_image_of_a_region_counts(spark):
+    image = bytearray(b"MZ".ljust(0x100, b"\0"))
+    struct.pack_into("<I", image, 0x3C, 0x40)
+    image[0x40:0x46] = b"PE\0\0" + struct.pack("<H", 0x14C)
+    regions = spark.createDataFrame([(1, "a", "PAGE_READONLY", "p")], "pid int, name string, protect string, blob_path string")
+    blobs = spark.createDataFrame([("p", bytearray(bytes(image) * 40))], "path string, content binary")
+    assert [(r["n_images"], r["tier"]) for r in memory.scan_regions(regions, blobs).collect()] == [(40, "HIGH")]
