@@ -136,6 +136,9 @@ CHROMIUM_COOKIES = "SELECT host_key, name, path, creation_utc, expires_utc, last
 FIREFOX_COOKIES = "SELECT host, name, path, creationTime, expiry, lastAccessed, isSecure, isHttpOnly, 0 FROM moz_cookies"
 CHROMIUM_DOWNLOADS = "SELECT id, target_path, start_time, received_bytes, total_bytes, state FROM downloads"
 CHROMIUM_CHAINS = "SELECT id, chain_index, url FROM downloads_url_chains"
+FIREFOX_DOWNLOADS = """SELECT p.url, a.content, a.dateAdded, 0, 1 FROM moz_places p JOIN moz_annos a ON p.id = a.place_id JOIN moz_anno_attributes t ON a.anno_attribute_id = t.id
+ WHERE t.name = 'downloads/destinationFileURI'"""
+FIREFOX_OLD_DOWNLOADS = "SELECT source, target, startTime, totalBytes, state FROM moz_downloads"
 _HISTORY = "url string, title string, visit_count long, at long"
 _COOKIES = "host string, name string, cookie_path string, created long, expires long, accessed long, is_secure long, is_httponly long, has_encrypted_value long"
 
@@ -159,8 +162,12 @@ def browser_cookies(spark: SparkSession, chromium: Sequence[str], firefox: Seque
     return c.unionByName(f).withColumn("has_encrypted_value", F.col("has_encrypted_value") == 1)
 
 
-def browser_downloads(spark: SparkSession, chromium: Sequence[str]) -> DataFrame:
-    """Downloads with the first address of their chain; those without chain are kept."""
+def browser_downloads(spark: SparkSession, chromium: Sequence[str], firefox: Sequence[str] = ()) -> DataFrame:
+    """Downloads of both kinds of browser; of Chromium with the first address of their chain, those without chain are kept.
+
+    Firefox keeps them as annotations of places (places.sqlite; all complete, without sizes) and formerly in a table of
+    its own (downloads.sqlite); each file of `firefox` is read for both.
+    """
     from evidra.operators.correlate import first_of_chain
     from evidra.operators.triage import webkit_time
 
@@ -169,7 +176,14 @@ def browser_downloads(spark: SparkSession, chromium: Sequence[str]) -> DataFrame
     key = F.struct("path", "id")
     joined = first_of_chain(rows.withColumn("k", key), chain.withColumn("k", key).select("k", "chain_index", "url"), "k", "chain_index", "url")
     state = F.when(F.col("state") == 1, "complete").when(F.col("state") == 2, "cancelled").when(F.col("state") == 4, "interrupted").otherwise("in progress")
-    return joined.select("target_path", "url", F.when(F.col("at") > 0, webkit_time(F.col("at"))).alias("start_time_utc"), "received_bytes", "total_bytes", state.alias("state"), "path")
+    c = joined.select("target_path", "url", F.when(F.col("at") > 0, webkit_time(F.col("at"))).alias("start_time_utc"), "received_bytes", "total_bytes", state.alias("state"), "path")
+    kind = "url string, target string, at long, total_bytes long, state long"
+    f = sqlite_rows(spark, firefox, FIREFOX_DOWNLOADS, kind).unionByName(sqlite_rows(spark, firefox, FIREFOX_OLD_DOWNLOADS, kind))
+    local = F.translate(F.regexp_replace("target", "(?i)^file:///", ""), "/", "\\")
+    target = F.when(F.col("target").rlike("(?i)^file:///"), local).otherwise(F.coalesce("target", F.lit("")))
+    state = F.when(F.col("state") == 0, "in progress").when(F.col("state") == 1, "complete").when(F.col("state") == 2, "cancelled").when(F.col("state") == 3, "failed").otherwise("unknown")
+    f = f.select(target.alias("target_path"), F.coalesce("url", F.lit("")).alias("url"), F.when(F.col("at") > 0, F.timestamp_micros("at")).alias("start_time_utc"), F.lit(None).cast("long").alias("received_bytes"), "total_bytes", state.alias("state"), "path")
+    return c.unionByName(f)
 
 
 def read_stix(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

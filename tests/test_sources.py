@@ -42,6 +42,27 @@ def test_lines_channels_and_lists(spark, tmp_path):
     assert [r[0] for r in got] == [[{"Name": "one", "Query": "SELECT *FROM x"}, {"Name": "two", "Empty": ""}], [], None]
 
 
+def test_downloads_of_firefox(spark, tmp_path):
+    places, old = str(tmp_path / "places.sqlite"), str(tmp_path / "downloads.sqlite")
+    db = sqlite3.connect(places)
+    db.executescript("create table moz_places(id,url); create table moz_annos(place_id,anno_attribute_id,content,dateAdded); create table moz_anno_attributes(id,name);")
+    db.executemany("insert into moz_places values(?,?)", [(1, "http://a/x.zip"), (2, None), (3, "http://c")])
+    db.executemany("insert into moz_anno_attributes values(?,?)", [(7, "downloads/destinationFileURI"), (8, "downloads/metaData")])
+    db.executemany("insert into moz_annos values(?,?,?,?)", [(1, 7, "file:///C:/Users/x.zip", 1700000000000000), (1, 8, "{}", 1), (2, 7, "FILE:///C:/y", 0), (3, 8, "{}", 1)])
+    db.commit()
+    db.close()
+    db = sqlite3.connect(old)
+    db.execute("create table moz_downloads(source,target,startTime,state,totalBytes)")
+    db.executemany("insert into moz_downloads values(?,?,?,?,?)", [("http://d", "C:\\d", 1700000000000000, 0, 5), ("http://e", "file:///C:/e", None, 3, None), ("http://f", None, -1, 9, 0)])
+    db.commit()
+    db.close()
+    rows = files.browser_downloads(spark, [], [places, old, str(tmp_path / "absent")]).collect()
+    assert sorted((r["url"], r["target_path"], r["start_time_utc"] and r["start_time_utc"].isoformat(), r["total_bytes"], r["state"], r["path"]) for r in rows) == [
+        ("", "C:\\y", None, 0, "complete", places), ("http://a/x.zip", "C:\\Users\\x.zip", "2023-11-14T22:13:20", 0, "complete", places),
+        ("http://d", "C:\\d", "2023-11-14T22:13:20", 5, "in progress", old), ("http://e", "C:\\e", None, None, "failed", old), ("http://f", "", None, 0, "unknown", old),
+    ]
+
+
 def test_browsers(spark, tmp_path):
     c, f = str(tmp_path / "History"), str(tmp_path / "places.sqlite")
     db = sqlite3.connect(c)
