@@ -8,59 +8,41 @@ from pyspark.sql import functions as F
 from evidra.session import materialize
 
 GAP_US = 30 * 60 * 1_000_000
-#: Width of the time buckets into which each key is split; a multiple of the gap, so that few events lie near an edge.
-BUCKET_GAPS = 8
 
 
 def sessions(df: DataFrame, key: str, time_us: str, event_id: str, gap_us: int = GAP_US, bucket_us: int | None = None) -> DataFrame:
     """Sessions of each `key`: one ends when the next event comes more than `gap_us` later.
 
-    Method: RANGE frames find the events without a predecessor (starts) or successor (ends) within the gap;
-    starts and ends are numbered separately, equal numbers are joined, and the running count of events at either
-    gives the number between. Every key is split into time buckets, so no key, however hot, meets in one task;
-    one summary row per bucket (first and last event, counts) carries the neighbours and the running counts
-    across bucket edges. What is gathered per key is one row per bucket, bounded by the span of time.
+    Method: every key is split into buckets of time no wider than the gap (`bucket_us`, at most and by default `gap_us`),
+    so that the events of a bucket lie in one session and only its first and last can start or end one. Events are
+    distinct by an exchange on all that tells them apart, and buckets are counted on the map side before the second
+    exchange, so that no key and no bucket, however hot, meets in one task. RANGE frames over the buckets of a key, all
+    growing and none sliding, find the firsts without a predecessor (starts) and the lasts without a successor (ends)
+    within the gap; both are numbered separately, equal numbers are joined, and the running counts of events before the
+    start and up to the end give the number between. What is gathered per key is one row per bucket, bounded by the span
+    of time.
 
     Result: `key`, start_us, end_us, n_events. Rows with a null key or time are in no session. Events are distinct
     by (key, time, event_id), a null id counting as one event per moment; events of one moment belong to one session.
     An empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    bucket_us = bucket_us or BUCKET_GAPS * gap_us
+    width = max(1, min(bucket_us or gap_us, gap_us))
     events = df.select(F.col(key).alias("k"), F.col(time_us).cast("long").alias("t"), F.col(event_id).alias("id"))
-    events = events.where("k is not null and t is not null").withColumn("b", F.floor(F.col("t") / bucket_us))
-    moments = events.repartition("k", "b").dropDuplicates(["k", "b", "t", "id"]).groupBy("k", "b", "t").agg(F.count("*").alias("n"))
-
-    cell = Window.partitionBy("k", "b").orderBy("t")
-    across = Window.partitionBy("k").orderBy("b")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    local = moments.select(
-        "k", "b", "t", "n",
-        (F.count("*").over(cell.rangeBetween(-gap_us, -1)) == 0).alias("first"),
-        (F.count("*").over(cell.rangeBetween(1, gap_us)) == 0).alias("last"),
-        F.sum("n").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-    )
-    local = materialize(local.where("first or last"), "session-candidates")
-    # the first and the last event of a bucket are among them, so they tell what the bucket holds
-    edges = local.groupBy("k", "b").agg(F.min("t").alias("low"), F.max("t").alias("high"), F.max("upto").alias("m"))
-    edges = edges.select(
-        "k", "b",
-        F.lag("high").over(across).alias("before"), F.lead("low").over(across).alias("after"),
-        F.coalesce(F.sum("m").over(before), F.lit(0)).alias("offset"),
-    )
-    bounds = local.join(edges, ["k", "b"]).select(
-        "k", "b", "t",
-        (F.col("first") & (F.col("before").isNull() | (F.col("t") - F.col("before") > gap_us))).alias("first"),
-        (F.col("last") & (F.col("after").isNull() | (F.col("after") - F.col("t") > gap_us))).alias("last"),
-        (F.col("offset") + F.col("upto") - F.col("n")).alias("rank_before"),
-        (F.col("offset") + F.col("upto")).alias("rank_upto"),
+    events = events.where("k is not null and t is not null").repartition("k", "t", "id").dropDuplicates(["k", "t", "id"])
+    buckets = events.groupBy("k", F.floor(F.col("t") / width).alias("b")).agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count("*").alias("n"))
+
+    earlier = Window.partitionBy("k").orderBy("low").rangeBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy("k").orderBy(F.desc("high")).rangeBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("k").orderBy("low").rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.max("high").over(earlier), F.min("low").over(later)
+    bounds = buckets.select(
+        "k", "low", "high", "n", F.sum("n").over(so_far).alias("upto"),
+        (before.isNull() | (F.col("low") - before > gap_us)).alias("first"),
+        (after.isNull() | (after - F.col("high") > gap_us)).alias("last"),
     ).where("first or last")
     bounds = materialize(bounds, "session-bounds")
 
-    def numbered(side: str) -> DataFrame:
-        mine = bounds.where(side)
-        seen = mine.groupBy("k", "b").agg(F.count("*").alias("c")).select("k", "b", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("so_far"))
-        return mine.withColumn("i", F.row_number().over(cell)).join(seen, ["k", "b"]).withColumn("i", F.col("i") + F.col("so_far"))
-
-    starts = numbered("first").select("k", "i", F.col("t").alias("start_us"), "rank_before")
-    ends = numbered("last").select("k", "i", F.col("t").alias("end_us"), "rank_upto")
+    number = F.row_number().over(Window.partitionBy("k").orderBy("low")).alias("i")
+    starts = bounds.where("first").select("k", number, F.col("low").alias("start_us"), (F.col("upto") - F.col("n")).alias("rank_before"))
+    ends = bounds.where("last").select("k", number, F.col("high").alias("end_us"), F.col("upto").alias("rank_upto"))
     return starts.join(ends, ["k", "i"]).select(F.col("k").alias(key), "start_us", "end_us", (F.col("rank_upto") - F.col("rank_before")).alias("n_events"))

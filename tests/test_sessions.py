@@ -47,3 +47,8 @@ def test_gap_is_inclusive_ties_count_and_edges_join(spark):
 def test_empty_table(spark):
     assert run(spark, [], 10, None) == set()
     assert run(spark, [(None, None, None, None, None, None)], 10, None) == set()
+
+
+def test_a_dense_key_stays_linear(spark):
+    df = spark.range(200_000).selectExpr("'k' as k", "id * 100 as t", "id")
+    assert [tuple(r) for r in sessions(df, "k", "t", "id", 10**9).collect()] == [("k", 0, 19_999_900, 200_000)]
