@@ -43,9 +43,12 @@ def preceded(events: DataFrame, at_us: str, seq: str, first: Column, second: Col
 
 
 def followed(events: DataFrame, at_us: str, seq: str, first: Column, second: Column, entity: str | None = None, within_us: int = WITHIN_US) -> DataFrame:
-    """First events with the next second event (themselves included) at most `within_us` later: their columns, and second_seq, second_at."""
-    order = Window.partitionBy("_entity", "_bucket").orderBy(at_us, seq).rowsBetween(0, Window.unboundedFollowing)
+    """First events with the next second event (themselves included) at most `within_us` later: their columns, and second_seq, second_at.
+
+    The frame grows backwards from the end of a bucket, so each row costs the same however many share its bucket.
+    """
+    order = Window.partitionBy("_entity", "_bucket").orderBy(F.desc(at_us), F.desc(seq)).rowsBetween(Window.unboundedPreceding, 0)
     rows = _marked(events, entity, at_us, first, second, within_us, True)
     place = F.struct(F.col(at_us).alias("t"), F.col(seq).alias("s"))
-    rows = rows.withColumn("_n", F.first(F.when(F.col("_second"), place), ignorenulls=True).over(order))
+    rows = rows.withColumn("_n", F.last(F.when(F.col("_second"), place), ignorenulls=True).over(order))
     return rows.where((F.col("_own") == F.col("_bucket")) & F.col("_first") & F.col("_n").isNotNull() & (F.col("_n.t") - F.col(at_us) <= within_us)).select(*events.columns, F.col("_n.s").alias("second_seq"), F.col("_n.t").alias("second_at"))
