@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.net import in_cidr, is_v4, v4_number
@@ -128,21 +128,29 @@ def upload_segment(path: Column) -> Column:
 
 
 def lookalikes(names: DataFrame, name: str, seq: str, longer: int = 2) -> DataFrame:
-    """Names that differ from another by one edit, or extend it by one or two characters: name, twin (the first such by seq).
+    """Names that differ from another by one edit, or of which one extends the other by one or two characters: name, twin (the first such by seq).
 
-    No pair of all names is formed: each name is blocked under its own text and the texts with one character dropped, and
-    under its prefixes; names that meet in a block are checked. Comparison ignores letter case; equal names are one (the first).
+    Both names of such a pair come out, each with its own first twin. No pairs are formed: each name is filed under the
+    texts with one of its characters dropped, by place, and under its shorter heads. Names filed under one text and
+    place differ in that one character, so that a block has as many as there are characters, and each needs only its
+    first or second; a name filed under another's whole text has that one as a twin, which needs only the first of
+    those filed there. Comparison ignores letter case; equal names are one (the first). Null and empty names have no twin.
     """
-    once = names.where(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.lower(name).alias("low")).agg(F.min(seq).alias("seq"), F.min_by(name, seq).alias("name"))
+    once = names.where(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(F.lower(name).alias("low")).agg(F.min(F.struct(F.col(seq).alias("seq"), F.col(name).alias("name"))).alias("own"))
     size = F.length("low")
-    dropped = F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(F.col("low"), F.lit(1), i - 1), F.substring(F.col("low"), i + 1, size)))
-    heads = F.filter(F.transform(F.sequence(F.lit(1), F.lit(longer)), lambda k: F.when(size > k, F.substring(F.col("low"), F.lit(1), size - k))), lambda x: x.isNotNull())
-    keys = once.select("low", "seq", "name", F.explode(F.array_distinct(F.concat(F.array("low"), dropped, heads))).alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.low") != F.col("b.low")))
-    extends = F.startswith("a.low", F.col("b.low")) & (F.length("a.low") - F.length("b.low")).between(1, longer)
-    near = pairs.where(extends | (F.levenshtein("a.low", "b.low") == 1)).select("a.low", "a.name", F.col("b.name").alias("twin"), F.col("b.seq").alias("twin_seq")).distinct()
-    return near.groupBy("low").agg(F.min("name").alias("name"), F.min_by("twin", "twin_seq").alias("twin")).select("name", "twin")
+    cut = lambda i: F.concat(F.substring(F.col("low"), F.lit(1), i - 1), F.substring(F.col("low"), i + 1, size))
+    dropped = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("place"), cut(i).alias("key")))
+    heads = F.transform(F.sequence(F.lit(2), F.lit(longer)), lambda k: F.struct(F.lit(0).alias("place"), F.substring(F.col("low"), F.lit(1), size - k).alias("key"))) if longer > 1 else F.array().cast("array<struct<place:int,key:string>>")
+    filed = once.select("low", "own", F.explode(F.concat(dropped, heads)).alias("f")).select("low", "own", "f.*")
+
+    block = Window.partitionBy("key", "place").orderBy("own")
+    # what stands in the frame before the first row is nothing, so that one looks ahead
+    near = filed.where("place > 0").withColumn("twin", F.coalesce(F.min("own").over(block.rowsBetween(Window.unboundedPreceding, -1)), F.lead("own").over(block))).select("low", "twin")
+    whole = once.select(F.col("low").alias("key"), F.col("own").alias("shorter"))
+    longest = filed.join(whole, "key").select("low", "key", "own", "shorter")
+    near = near.unionByName(longest.select("low", F.col("shorter").alias("twin"))).unionByName(longest.groupBy(F.col("key").alias("low")).agg(F.min("own").alias("twin")))
+    found = near.where("twin is not null").groupBy("low").agg(F.min("twin").alias("twin"))
+    return found.join(once, "low").select(F.col("own.name").alias("name"), F.col("twin.name").alias("twin"))
 
 
 def bound_consumers(filters: DataFrame, bindings: DataFrame, consumers: DataFrame) -> DataFrame:

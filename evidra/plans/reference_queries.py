@@ -227,7 +227,7 @@ def upload_dir_first_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH n AS (SELECT lower(p_name) AS low, min(p_partkey) AS seq, arg_min(p_name, p_partkey) AS name FROM part WHERE p_name <> '' GROUP BY 1)
- SELECT min(a.name) AS name, arg_min(b.name, b.seq) AS twin FROM n a JOIN n b ON a.low <> b.low AND (levenshtein(a.low, b.low) = 1 OR (starts_with(a.low, b.low) AND length(a.low) - length(b.low) BETWEEN 1 AND 2)) GROUP BY a.low""")
+ SELECT min(a.name) AS name, arg_min(b.name, b.seq) AS twin FROM n a JOIN n b ON a.low <> b.low AND (levenshtein(a.low, b.low) = 1 OR (starts_with(a.low, b.low) AND length(a.low) - length(b.low) BETWEEN 1 AND 2) OR (starts_with(b.low, a.low) AND length(b.low) - length(a.low) BETWEEN 1 AND 2)) GROUP BY a.low""")
 def lookalike_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names that could be taken for another."""
     return correlate.lookalikes(read_table(spark, sf, "part"), "p_name", "p_partkey")

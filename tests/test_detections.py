@@ -111,6 +111,33 @@ def test_lookalikes_and_orphans(spark):
     assert states == [("bound", "F2", "none"), ("bound", "f1", "C1"), ("orphan consumer", "", "c2"), ("orphan filter", "f2", "")]
 
 
+def test_lookalikes_are_symmetric_and_like_all_pairs(spark):
+    pair = spark.createDataFrame([("adminxx", 1), ("admin", 2)], "n string, i long")
+    assert {tuple(r) for r in correlate.lookalikes(pair, "n", "i").collect()} == {("admin", "adminxx"), ("adminxx", "admin")}
+    rng = random.Random(4)
+    rows = [("".join(rng.choice("abA") for _ in range(rng.randrange(1, 6))), i) for i in range(60)] + [(f"user{i:03}", 100 + i) for i in range(40)]
+    first = {}
+    for n, i in rows:
+        first.setdefault(n.lower(), (i, n))
+
+    def edit(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = lambda a, b: a != b and (edit(a, b) or (abs(len(a) - len(b)) <= 2 and (a.startswith(b) or b.startswith(a))))
+    want = {(first[a][1], min(first[b] for b in first if near(a, b))[1]) for a in first if any(near(a, b) for b in first)}
+    assert {tuple(r) for r in correlate.lookalikes(spark.createDataFrame(rows, "n string, i long"), "n", "i").collect()} == want
+
+
+def test_dense_buckets_cost_the_same_for_each_row(spark):
+    df = spark.range(40_000).selectExpr("'e' as e", "id as t", "id as s", "true as f", "id = 39999 as g")
+    assert sequences.followed(df, "t", "s", F.col("f"), F.col("g"), "e", 40_000).count() == 40_000
+
+
 def test_brute_force_without_fails(spark):
     logons = spark.createDataFrame([("4625", '{"IpAddress":"203.0.113.9","TargetUserName":"A"}')] * 25 + [("4625", None), ("4624", "x"), (None, None)], "event_id string, event_data string")
     row = correlate.failed_logons(logons, "event_id", "event_data").collect()
