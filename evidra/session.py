@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -35,9 +36,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or, where that is unset, a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in a local session where that is unset, a temporary one.
+
+    On a cluster each executor would write to a disk of its own, and the tables would come back incomplete, so there the
+    setting is required.
+    """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         known = "file://" + tempfile.mkdtemp(prefix="evidra-")
         spark.conf.set("spark.checkpoint.dir", known)
         atexit.register(shutil.rmtree, known.removeprefix("file://"), True)
@@ -48,7 +56,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and lets several later branches read only the
-    columns they need. The table is removed by `cleanup` or at the end of the process.
+    columns they need. The write runs when the plan is built, not when its result is read. The table is removed by
+    `cleanup` or at the end of the process; a result that still reads it must be read or written before that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
