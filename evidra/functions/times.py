@@ -36,6 +36,20 @@ def day_number(text: Column) -> Column:
     return F.unix_date(iso.try_cast("date"))
 
 
+def day_in_form(text: Column, form: Column) -> Column:
+    """Days since 1970 of a date that is written in the form of that name (see `functions.forms`); null if it doesn't exist or the form is no date. A slashed date of unknown order is read day first."""
+    part = lambda by, *order: F.concat_ws("-", *(F.get(F.split(text, by), F.lit(i)) for i in order))
+    iso = (
+        F.when(form == "date_ymd", text)
+        .when(form == "date_compact", F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)))
+        .when(form == "date_dmy", part(r"\.", 2, 1, 0))
+        .when(form == "date_slash_ymd", F.replace(text, F.lit("/"), F.lit("-")))
+        .when(form.isin("date_slash_dmy", "date_slash"), part("/", 2, 1, 0))
+        .when(form == "date_slash_mdy", part("/", 2, 0, 1))
+    )
+    return F.unix_date(iso.try_cast("date"))
+
+
 #: A time of day, `HH:mm[:ss[.f]]`.
 TIME = r"^\s*([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:[.,](\d{1,9})\d*)?)?Z?\s*$"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions.net import canonical_address
 from evidra.functions.times import micros, show_seconds
-from evidra.operators.drift import layout_changes, union_rows
+from evidra.operators.drift import layout_changes, union_rows, union_schema
 from evidra.operators.malformed import checked_lines
 from evidra.operators.nested import task_items
 from evidra.operators.packed import unpack
@@ -21,10 +21,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All loadable log lines as one table with the columns of iis_requests, and line_no."""
+    """All loadable log lines as one table with the columns of iis_requests, line_no and the fields that layouts add."""
     return union_rows(checked_lines(read_table(spark, sf_dir, "iis_log_lines")).where("reason is null"))
 
 
+def p1_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union schema of each site's layouts: site, field, form, type, n_layouts."""
+    return union_schema(read_table(spark, sf_dir, "iis_log_lines"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The data lines that fail to parse: site, source_log, line_no, reason."""
     return checked_lines(read_table(spark, sf_dir, "iis_log_lines")).where("reason is not null").select("site", "source_log", "line_no", "reason")
@@ -59,7 +64,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("client_ip", show_seconds("start_us").alias("session_start"), show_seconds("end_us").alias("session_end"), F.col("n_events").alias("n_requests"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_rows": p1_rows, "p1_schema": p1_schema, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p5_found": p5_found}
 
 # --- the same in SQL, as far as SQL can say it; addresses as the test tables spell them ------------------------------
 

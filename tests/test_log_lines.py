@@ -73,3 +73,33 @@ def test_empty_tables(spark):
     assert layout_changes(empty).collect() == [] and checked_lines(empty).collect() == []
     none = lines(spark, {("S", "f"): ["a b", "#x", ""]})
     assert layout_changes(none).collect() == [] and [r["reason"] for r in checked_lines(none).collect()] == ["columns"]
+
+
+def test_slashed_dates_are_read_in_the_order_of_their_layout(spark):
+    def log(dates):
+        return ["#Fields: date time sc-status x-forwarded-for"] + [f"{d} 00:00:0{i % 10} 200 f{i}" for i, d in enumerate(dates)]
+
+    files = {("A", "1"): log(["26/11/2026", "01/02/2026", "5/6/2026", "31/02/2026", "12/30/2026"]), ("B", "1"): log(["11/26/2026", "01/02/2026", "26/11/2026", "12/30/2026"]), ("C", "1"): log(["1.2.2026", "01.02.2026"]), ("D", "1"): log(["2026/2/1", "2026/02/01"])}
+    df = lines(spark, files)
+    checked = checked_lines(df)
+    bad = sorted((r["site"], r["line_no"]) for r in checked.where("reason is not null").collect())
+    assert bad == [("A", 5), ("A", 6), ("B", 4)]
+    rows = union_rows(checked.where("reason is null")).collect()
+    days = {(r["site"], r["line_no"]): str(r["datetime_utc"])[:10] for r in rows}
+    assert days == {("A", 2): "2026-11-26", ("A", 3): "2026-02-01", ("A", 4): "2026-06-05", ("B", 2): "2026-11-26", ("B", 3): "2026-01-02", ("B", 5): "2026-12-30", ("C", 2): "2026-02-01", ("C", 3): "2026-02-01", ("D", 2): "2026-02-01", ("D", 3): "2026-02-01"}
+    assert all(r["added"] == {"x-forwarded-for": f"f{r['line_no'] - 2}"} for r in rows)
+
+
+def test_the_lattice_types_the_union_table(spark):
+    files = {("A", "1"): ["#Fields: n d m", "1 2026-01-01 5", "2 2026-01-01 -"], ("A", "2"): ["#Fields: n d m", "1.5 01.01.2026 0x1F"], ("A", "3"): ["#Fields: d n", "2026-01-01 7"]}
+    df = lines(spark, files)
+    got = {r["field"]: (r["form"], r["type"], r["n_layouts"]) for r in union_schema(df).collect()}
+    assert got == {"n": ("decimal", "double", 3), "d": ("date", "date", 3), "m": ("word", "string", 2)}
+    assert sorted(tuple(r) for r in layout_changes(df).collect()) == [("A", "2", 1, "d", "retyped"), ("A", "2", 1, "m", "retyped"), ("A", "2", 1, "n", "retyped"), ("A", "3", 1, "d", "retyped"), ("A", "3", 1, "m", "removed"), ("A", "3", 1, "n", "retyped")]
+
+
+def test_many_layouts_in_one_file(spark):
+    text = [x for i in range(3000) for x in ("#Fields: a b" if i % 2 else "#Fields: a c", "1 2")]
+    df = lines(spark, {("S", "f"): text})
+    assert layout_changes(df).count() == 2999
+    assert checked_lines(df).where("reason is null").count() == 3000
