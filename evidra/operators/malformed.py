@@ -9,7 +9,7 @@ from evidra.functions.forms import NAME
 from evidra.functions.net import is_address
 from evidra.functions.text import fence
 from evidra.functions.times import TIME, day_in_form
-from evidra.operators.drift import field, fold, parsed_lines
+from evidra.operators.drift import fold, parsed_lines
 from evidra.session import materialize
 from evidra.sources.w3c import FILE, covers
 
@@ -27,12 +27,14 @@ def checked_lines(lines: DataFrame) -> DataFrame:
     """
     headers, parsed = parsed_lines(lines)
     parsed = materialize(parsed, "parsed-lines")
-    place = lambda x: F.expr(f"cast(nullif(array_position(canonical, '{x}'), 0) - 1 as int)")
-    known = covers(fold(headers, parsed).drop("changes"), lines).withColumns({"date_at": place("date"), "time_at": place("time")})
-    known = known.select(*FILE, "start", "b", "canonical", "promoted", "date_at", "time_at", F.get("forms", "date_at").alias("date_form"), F.get("forms", "time_at").alias("time_form"))
-    # a layout meets its lines bucket by bucket, so that a long one is spread over many tasks
-    rows = parsed.join(known, [*FILE, "start", "b"], "left")
-    rows = fence(rows, _status=field(("sc-status",)), _client=field(("c-ip",)), _date=field(("date",)), _time=field(("time",)), _fits=F.coalesce(F.col("start").isNotNull() & (F.size("fields") == F.col("width")), F.lit(False)))
+    at = lambda x: F.expr(f"cast(nullif(array_position(canonical, '{x}'), 0) - 1 as int)")
+    places = {"status_at": at("sc-status"), "client_at": at("c-ip"), "date_at": at("date"), "time_at": at("time")}
+    known = covers(fold(headers, parsed).drop("changes"), lines).withColumns(places)
+    known = known.select(*FILE, "start", "b", "canonical", "promoted", *places, F.get("forms", "date_at").alias("date_form"), F.get("forms", "time_at").alias("time_form"))
+    # a table of known size: small, it goes to the lines; else a layout meets them bucket by bucket, so that a long one is spread over many tasks
+    rows = parsed.join(materialize(known, "layout-states"), [*FILE, "start", "b"], "left")
+    value = lambda place: F.nullif(F.nullif(F.get("fields", place), F.lit("-")), F.lit(""))
+    rows = fence(rows, _status=value("status_at"), _client=value("client_at"), _date=value("date_at"), _time=value("time_at"), _fits=F.coalesce(F.col("start").isNotNull() & (F.size("fields") == F.col("width")), F.lit(False)))
     names = F.create_map(*(F.lit(x) for pair in NAME.items() for x in pair))
     written = lambda at: F.element_at(names, F.expr(f"nullif(substring(letters, {at} + 1, 1), '-')"))
     unsure = (F.col("_date_form") == "date_slash") & F.col("date_form").startswith("date_slash_")
