@@ -52,16 +52,17 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor, and lets several later branches read only the
-    columns they need. The write runs when the plan is built, not when its result is read. The table is removed by
+    columns they need, and of a table written `by` a column only the parts they need. The write runs when the plan is built, not when its result is read. The table is removed by
     `cleanup` or at the end of the process; a result that still reads it must be read or written before that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     if not _written:
         atexit.register(cleanup)
     _written.append((spark, path))

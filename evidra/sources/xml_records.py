@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from json.encoder import encode_basestring as _quoted
 from xml.parsers import expat
 
 import pandas as pd
@@ -23,36 +24,38 @@ def _bare(text: str) -> str:
 def parse_xml(text: str | None) -> tuple[str | None, int]:
     """A well-formed XML text as JSON, and the depth of its elements; (None, 0) for any other text.
 
-    Each element is {n: name without prefix, p: place among the element children of its parent, k: place among those
-    of its name, t: its own text, a: attributes, c: element children}. The declaration and a byte-order mark are of no
-    account, comments count for nothing, CDATA is text. Elements below DEEPEST levels are left to `elements_below`.
+    Each element is {n: name without prefix, k: place among the siblings of its name if not the first, t: its own text,
+    a: attributes, c: element children}, without what is empty. The declaration and a byte-order mark are of no account,
+    comments count for nothing, CDATA is text. Elements below DEEPEST levels are left to `elements_below`.
     """
     if not text:
         return None, 0
     text = _bare(text)
-    root: dict = {"c": []}
-    seen: list[dict[str, int]] = [{}]
-    stack, depth = [root], 0
+    depth = 0
+    # of each open element: name, place among its name's, texts, attributes, children as JSON, how often each name came
+    stack: list[tuple] = [("", 1, [], {}, [], {})]
 
     def start(name: str, attributes: dict) -> None:
         nonlocal depth
         name = name.rpartition(":")[2]
-        siblings, so_far = stack[-1]["c"], seen[-1]
-        so_far[name] = so_far.get(name, 0) + 1
-        node = {"n": name, "p": len(siblings) + 1, "k": so_far[name], "t": "", "a": attributes, "c": []}
-        seen.append({})
-        if len(stack) <= DEEPEST:
-            siblings.append(node)
-            depth = max(depth, len(stack))
-        stack.append(node)
+        counts = stack[-1][5]
+        counts[name] = same = counts.get(name, 0) + 1
+        if depth < len(stack) <= DEEPEST:
+            depth = len(stack)
+        stack.append((name, same, [], attributes, [], {}))
 
     def end(_: str) -> None:
-        node = stack.pop()
-        seen.pop()
-        node["t"] = node["t"].strip()
+        name, same, texts, attributes, children, _ = stack.pop()
+        if len(stack) > DEEPEST:
+            return
+        own = "".join(texts).strip()
+        stack[-1][4].append(
+            f'{{"n":{_quoted(name)}' + (f',"k":{same}' if same > 1 else "") + (f',"t":{_quoted(own)}' if own else "")
+            + (f',"a":{json.dumps(attributes, ensure_ascii=False)}' if attributes else "") + (f',"c":[{",".join(children)}]' if children else "") + "}"
+        )
 
     def data(x: str) -> None:
-        stack[-1]["t"] += x
+        stack[-1][2].append(x)
 
     parser = expat.ParserCreate()
     parser.buffer_text = True
@@ -61,41 +64,42 @@ def parse_xml(text: str | None) -> tuple[str | None, int]:
         parser.Parse(text, True)
     except (expat.ExpatError, UnicodeEncodeError, ValueError):
         return None, 0
-    return json.dumps(root["c"][0], ensure_ascii=False), depth
+    return stack[0][4][0], depth
 
 
 def elements_below(text: str, levels: int = DEEPEST, step: int = 256) -> Iterator[list[tuple]]:
     """The elements below so many levels of a well-formed XML text, a few at a time, in the order in which they end.
 
-    Each is its node_id, parent_id, ordinal, same_name_ordinal, name, text, and, as JSON, attributes and trail. The text is
-    read in pieces of `step` characters, since the trails of one deep text may together be long.
+    Each is its level, node_id, parent_id, path and same_id (the names and the places among their names' from the root
+    down), text, and attributes as JSON. The text is read in pieces of `step` characters, since the paths of one deep
+    text may together be long.
     """
     text, out = _bare(text), []
     places: list[int] = [0]
     seen: list[dict[str, int]] = [{}]
-    # of each open element: node_id, ordinal, same_name_ordinal, name, its texts, attributes, its part of the trail
+    # of each open element: node_id, path, same_id, its texts, attributes
     stack: list[tuple] = []
 
     def start(name: str, attributes: dict) -> None:
         name = name.rpartition(":")[2]
         places[-1] += 1
         seen[-1][name] = same = seen[-1].get(name, 0) + 1
-        node = f"{stack[-1][0]}.{places[-1]}" if stack else "1"
-        stack.append((node, places[-1], same, name, [], attributes, json.dumps({"name": name, "ordinal": places[-1], "same": same}, ensure_ascii=False)))
+        node, path, sames = (f"{stack[-1][0]}.{places[-1]}", f"{stack[-1][1]}/{name}", f"{stack[-1][2]}.{same}") if stack else ("1", name, "1")
+        stack.append((node, path, sames, [], attributes))
         places.append(0)
         seen.append({})
 
     def end(_: str) -> None:
         if len(stack) > levels:
-            node, place, same, name, texts, attributes, _ = stack[-1]
-            out.append((node, stack[-2][0], place, same, name, "".join(texts).strip(), json.dumps(attributes, ensure_ascii=False), f"[{','.join(x[-1] for x in stack)}]"))
+            node, path, sames, texts, attributes = stack[-1]
+            out.append((len(stack), node, stack[-2][0], path, sames, "".join(texts).strip(), json.dumps(attributes, ensure_ascii=False)))
         stack.pop()
         places.pop()
         seen.pop()
 
     def data(x: str) -> None:
         if len(stack) > levels:
-            stack[-1][4].append(x)
+            stack[-1][3].append(x)
 
     parser = expat.ParserCreate()
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
