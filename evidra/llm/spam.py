@@ -8,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.llm.pages import NAMES, page_features
 from evidra.session import materialize
 
 #: At most so many weakly labelled rows of either class are used to train.
@@ -15,82 +16,6 @@ MOST_TRAINING = 40_000
 TREES, DEPTH = 50, 10
 #: How much the rate of a page's host counts against what the page's own trees say, and how many pages a host's rate is drawn to the mean by.
 HOST_WEIGHT, HOST_PRIOR = 0.15, 20
-#: Host rates go to every worker if they are at most so many; otherwise they are joined with a salt.
-MOST_HOSTS, SALTS = 500_000, 32
-
-#: Fixed word list: frequent function words of English, German, French and Spanish, as written text has them and lists of keywords don't.
-FUNCTION_WORDS = (
-    "the a an of to and was were is are for with on at by that this it its no not as so had has have been after before if when than be we i you who which whose could should would there their over under into each then only "
-    "le la les l un une et ou de du des d est était a à au aux ce cette pas n si encore chaque dans nous il elle qui que aucun rien sur pendant après avec pour par sans mais "
-    "der die das und oder ein eine einen nicht im ist war sind wurde wird auf mit von den dem noch zu wir hat er es ob für diese dieser über nach vor bei ohne aber obwohl bitte sein "
-    "el los las una se en del al y o por para con su lo es era falta no fue ha antes pero como más este esta que hay"
-).split()
-
-LINK = r"(?:https?://|www\.)[^\s<>\"')\]]+"
-#: A link with its markup and its text.
-LINKED = r"<a\s[^<>]*>[^<>]*</a>|\[[^\[\]]*\]\([^()\s]*\)|" + LINK
-#: Full-width forms are read as the characters they are forms of.
-_WIDE = "".join(chr(x) for x in range(0xFF01, 0xFF5F)), "".join(chr(x) for x in range(0x21, 0x7F))
-_SENTENCE = r"\p{Ll}[.!?][\"')]?(?:\s|$)"
-
-
-def page_features(pages: DataFrame, text: str) -> DataFrame:
-    """`pages` with content and link features of each page as a struct `f` of doubles; a null or empty text has zeros.
-
-    Shares are of words or characters of the whole text. Nothing here names a keyword: what counts is how often the same
-    words and pairs of words return, how few function words and sentences there are, how much of the text stands in lines
-    almost without function words, and how much of it is links, separators, tags or prices.
-    """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    t, w, n, lines = F.col("_t"), F.col("_words"), F.col("_n"), F.col("_lines")
-    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("double")
-
-    def rare(pattern: str, *signs: str) -> Column:
-        """The count of a pattern, looked for only where one of its signs stands."""
-        found = F.contains(t, F.lit(signs[0]))
-        for x in signs[1:]:
-            found = found | F.contains(t, F.lit(x))
-        return F.when(found, count(pattern)).otherwise(0.0)
-
-    rows = pages.withColumn("_t", F.when(raw.rlike("[\uff01-\uff5e]"), F.translate(raw, *_WIDE)).otherwise(raw)).withColumn("_low", F.lower(t))
-    rows = rows.withColumn("_bare", F.when(t.contains("://") | t.contains("www."), F.regexp_replace(t, LINKED, "")).otherwise(t))
-    unlinked = F.when(t.contains("://") | t.contains("www."), F.regexp_replace(F.regexp_replace(F.col("_low"), r"<[^<>]*>|\]\([^()]*\)", " "), LINK, " ")).otherwise(F.col("_low"))
-    by_line = F.transform(F.split(unlinked, r"\n"), lambda x: F.regexp_extract_all(x, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)))
-    rows = rows.withColumn("_by_line", by_line).withColumn("_words", F.flatten("_by_line"))
-    function_words = lambda ws: F.size(F.filter(ws, lambda x: x.isin(FUNCTION_WORDS)))
-    rows = rows.withColumn("_bare_words", F.flatten(F.filter("_by_line", lambda ws: function_words(ws) * 10 < F.size(ws))))
-    rows = rows.withColumn("_rows", F.filter(F.split("_low", r"\n|\s[|•-]\s|<br>"), lambda x: F.trim(x) != ""))
-    rows = rows.withColumn("_n", F.greatest(F.size("_words"), F.lit(1)).cast("double")).withColumn("_lines", F.greatest(count(r"\S[^\n]*(?:\n|$)"), F.lit(1.0)))
-    inner = F.greatest(F.size(w) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(w, 1, inner), F.slice(w, 2, inner), lambda a, b: F.xxhash64(a, b))
-    begins = F.transform("_rows", lambda x: F.regexp_extract(x, r"^[^\p{L}]*(\p{L}+(?:\s+\p{L}+)?)", 1))
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    cells = {
-        "words": F.log1p(F.size(w).cast("double")),
-        "distinct": F.size(F.array_distinct(w)) / n,
-        "distinct_pairs": F.size(F.array_distinct(pairs)) / n,
-        "function_words": function_words(w) / n,
-        "bare_share": F.size("_bare_words") / n,
-        "bare_distinct": F.size(F.array_distinct("_bare_words")) / F.greatest(F.size("_bare_words"), F.lit(1)),
-        "sentences": count(_SENTENCE) / n,
-        "link_share": (F.length(t) - F.length("_bare")) / chars,
-        "links": rare(LINK, "://", "www.") / lines,
-        "anchors": rare(r"<a\s|\]\(", "<a", "](") / lines,
-        "tags": rare(r"(?:^|\s)#\p{L}", "#") / n,
-        "trails": rare(r"\s>\s", ">") / lines,
-        "separators": count(r"[,;|•/·](?:\s|$)") / n,
-        "prices": rare(r"[$€£]\s?\d", "$", "€", "£") / n,
-        "models": count(r"\b\p{Lu}{1,3}-\d{2,4}\b") / n,
-        "digits": count(r"\d") / chars,
-        "times": count(r"\d:\d{2}") / lines,
-        "labels": count(r"(?m)^\s*[\p{L}_]+\s*:(?:\s|$)") / lines,
-        "capitals": count(r"\p{Lu}") / chars,
-        "line_words": n / lines,
-        "alike_begins": F.lit(1.0) - F.size(F.array_distinct(begins)) / F.greatest(F.size("_rows"), F.lit(1)),
-        "code": F.regexp_count("_bare", F.lit(r"[\\{}=_\"]")).cast("double") / chars,
-    }
-    struct = F.struct(*(F.coalesce(c.cast("double"), F.lit(0.0)).alias(x) for x, c in cells.items()))
-    return rows.withColumn("f", struct).drop("_t", "_low", "_bare", "_by_line", "_bare_words", "_words", "_rows", "_n", "_lines")
 
 
 def weak_label(f: str = "f") -> Column:
@@ -116,7 +41,8 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     Method: features of every page are computed once; weak labels name the clear cases; bagged decision trees (bootstrap
     samples, all features at every node) learn from at most `most_training` of either class, chosen by a hash of the id, both classes weighing the same;
     all pages are scored; the rate of each host, over all its pages and drawn towards the overall rate, shifts the
-    doubtful ones. If one class has no clear case, its absence is the result: all pages get the score of the other.
+    doubtful ones. Without a clear case of either class nothing can be learned: clear pages keep their label, and
+    doubtful ones score 0.5, which is not spam.
 
     A null host is a host of its own kind: such pages get the overall rate. Null and empty texts score 0. Repeated rows
     are scored alike. Extra columns are ignored; an empty table gives no rows.
@@ -124,15 +50,14 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     rows = pages.select(F.col(page_id).alias("id"), F.col(host).alias("host"), F.col(text).alias("text"))
     rows = page_features(rows, "text").select("id", "host", "f", F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)).alias("written"))
     rows = materialize(rows.withColumn("label", F.when(F.col("written"), weak_label())), "page-features")
-    names = rows.schema["f"].dataType.names
     counts = {r["label"]: r["count"] for r in rows.where("label is not null").groupBy("label").count().collect()}
     if len(counts) < 2:
-        only = float(next(iter(counts), 0.0))
-        return rows.select(F.col("id").alias(page_id), F.when(F.col("written"), only).otherwise(0.0).alias("page_score"), F.when(F.col("written"), only).otherwise(0.0).alias("score"))
+        clear = F.when(F.col("written"), F.coalesce("label", F.lit(0.5))).otherwise(0.0)
+        return rows.select(F.col("id").alias(page_id), clear.alias("page_score"), clear.alias("score"))
     share = F.when(F.col("label") == 1, min(1.0, most_training / counts[1.0])).otherwise(min(1.0, most_training / counts[0.0]))
     drawn = F.pmod(F.xxhash64("id", F.lit("draw")), F.lit(1_000_000)) < share * 1_000_000
-    assembler = VectorAssembler(inputCols=[f"f_{x}" for x in names], outputCol="features")
-    flat = lambda df: assembler.transform(df.select("*", *(F.col(f"f.{x}").alias(f"f_{x}") for x in names)))
+    assembler = VectorAssembler(inputCols=[f"f_{x}" for x in NAMES], outputCol="features")
+    flat = lambda df: assembler.transform(df.select("*", *(F.col(f"f.{x}").alias(f"f_{x}") for x in NAMES)))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, featureSubsetStrategy="all", subsamplingRate=1.0, bootstrap=True, weightCol="weight", seed=7)
     drawn_counts = {k: min(n, most_training) for k, n in counts.items()}
     weight = F.when(F.col("label") == 1, 1.0 / drawn_counts[1.0]).otherwise(1.0 / drawn_counts[0.0]) * min(drawn_counts.values())
@@ -145,10 +70,7 @@ def spam_scores(pages: DataFrame, page_id: str, text: str, host: str, most_train
     scored = materialize(scored, "page-scores")
     overall = scored.agg(F.avg("page_score")).first()[0]
     rates = scored.where("host is not null").groupBy("host").agg(((F.sum("page_score") + HOST_PRIOR * overall) / (F.count("*") + HOST_PRIOR)).alias("rate"))
-    if rates.count() <= MOST_HOSTS:
-        joined = scored.join(F.broadcast(rates), "host", "left")
-    else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    # a written table has a known size: rates of few hosts go to the pages, of many the join is split where a host is hot
+    joined = scored.join(materialize(rates, "host-rates"), "host", "left")
     score = F.col("page_score") * (1 - HOST_WEIGHT) + F.coalesce(F.col("rate"), F.lit(overall)) * HOST_WEIGHT
     return joined.select(F.col("id").alias(page_id), "page_score", F.when(F.col("page_score") > 0, score).otherwise(0.0).alias("score"))

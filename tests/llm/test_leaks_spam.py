@@ -150,3 +150,38 @@ def test_one_class_or_no_rows(spark):
     assert spam_scores(df.limit(0), "doc_id", "text", "source").collect() == []
     f = page_features(df, "text").withColumn("label", weak_label()).collect()
     assert [r["label"] for r in f] == [0.0, 0.0] and all(x == x for r in f for x in r["f"])
+
+
+OTHER_LANGUAGES = (
+    "Вечером дежурный аналитик проверил журнал сервера и не нашёл следов повторного входа. Утром заявку закрыли, потому что источник шума оказался старым сканером.",
+    "Wieczorem analityk sprawdził dziennik serwera i nie znalazł śladów ponownego logowania. Rano zgłoszenie zamknięto, ponieważ źródłem szumu okazał się stary skaner.",
+    "Illalla analyytikko tarkisti palvelimen lokin eikä löytänyt merkkejä uudesta kirjautumisesta. Aamulla tiketti suljettiin, koska melun lähde oli vanha skanneri.",
+    "晚上值班分析员检查了服务器日志，没有发现再次登录的痕迹。早上工单已关闭，因为噪音来源是一台旧扫描仪。",
+)
+
+
+def test_remarks_said_again_and_keywords_in_languages_without_word_list(spark):
+    rows = [(i, t, h) for i, t, h, _ in pages(random.Random(8), 400)]
+    prose = [(1000 + 10 * k + times, " ".join([t] * times), "s1") for k, t in enumerate(OTHER_LANGUAGES) for times in (1, 3, 6)]
+    spam = [(2000, "купить дешёвый сканер, сканер цена, сканер отзывы, купить сканер онлайн, дешёвый сканер цена, " * 8, "s1"), (2001, "tani laptop, laptop cena, kup laptop online, tani laptop cena, laptop opinie, " * 8, "s1")]
+    df = spark.createDataFrame([*rows, *prose, *spam], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["score"] for r in spam_scores(df, "doc_id", "text", "source").where("doc_id >= 1000").collect()}
+    assert {i for i, s in got.items() if s > 0.5} == {2000, 2001}
+
+
+def test_doubtful_pages_are_no_spam_where_nothing_can_be_learned(spark):
+    spam = [(i, "buy cheap scanner, scanner price, cheap scanner, " * 9, "s") for i in range(20)]
+    df = spark.createDataFrame([*spam, (100, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu", "s")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["score"] for r in spam_scores(df, "doc_id", "text", "source").collect()}
+    assert all(got[i] == 1.0 for i in range(20)) and got[100] <= 0.5
+
+
+def test_characters_are_counted_within_each_text():
+    from evidra.llm.pages import Reader
+
+    texts = ["A-12 AB-123, ABC-1234 ABCD-12 A-1 A-12345", "", "10:20:30 1:22\n> x > y #tag $5 € 7", "end. No end.\" (end!) x", "ＡＢ－１２　", "𝒳 😀 ok."]
+    got = Reader().counts(texts)
+    assert got["models"].tolist() == [3, 0, 0, 0, 0, 0] and got["times"].tolist() == [0, 0, 2, 0, 0, 0] and got["tags"][2] == 1 and got["prices"][2] == 2 and got["sentences"].tolist() == [0, 0, 0, 3, 0, 1]
+    alone = [Reader().counts([t]) for t in texts]
+    assert all(got[x].tolist() == [int(c[x][0]) for c in alone] for x in got)
+    assert len(Reader().features(texts)) == 6 and Reader().features([""]).to_numpy().max() <= 1.0
