@@ -112,8 +112,8 @@ def task_items(records: DataFrame, key: str, text: str) -> DataFrame:
     rows = found.where(F.col("path").rlike(rf"^(?:Tasks/)?Task/(?:{'|'.join(SECTIONS)})/(?:[^/]+$|.*/(?:DaysOfWeek|RequiredPrivileges)/[^/]+$)"))
     # where the task stands in the path: first, or second under Tasks
     rows = fence(rows, at=F.when(F.col("path").startswith("Tasks/"), 2).otherwise(1), names=F.split("path", "/"), ids=F.split("node_id", r"\."))
-    kind = F.element_at(F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair)), F.expr("names[at]"))
-    holder, deep = F.expr("names[level - 2]"), F.expr("level - at")
+    kind = F.element_at(F.create_map(*(F.lit(x) for pair in SECTIONS.items() for x in pair)), F.expr("get(names, at)"))
+    holder, deep = F.expr("get(names, level - 2)"), F.expr("level - at")
     section = (
         F.when(deep == 2, kind)
         .when((kind == "trigger") & (holder == "DaysOfWeek") & (deep > 3), "day")
@@ -121,6 +121,6 @@ def task_items(records: DataFrame, key: str, text: str) -> DataFrame:
     )
     rows = rows.withColumn("section", section).where("section is not null")
     item = F.when(F.col("section") == "principal", F.element_at("attributes", "id")).when(F.col("section") == "privilege", F.coalesce("text", F.lit(""))).otherwise(F.element_at("names", -1))
-    parent = F.when(deep == 2, 0).otherwise(F.expr("ids[at + 1]").cast("int"))
+    parent = F.when(deep == 2, 0).otherwise(F.expr("get(ids, at + 1)").cast("int"))
     task_no = F.when(F.col("at") == 1, 1).otherwise(F.split_part("same_id", F.lit("."), F.lit(2)).cast("int"))
     return rows.select(F.col("key").alias(key), task_no.alias("task_no"), "section", parent.alias("parent_position"), F.element_at("ids", -1).cast("int").alias("position"), item.alias("item"))
