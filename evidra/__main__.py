@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import datetime
 import sys
 
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ def main(args: list[str] | None = None) -> int:
         print(outcome.asDict())
         return int(outcome["status"] != "ok")
     else:
-        sinks.write_stix(ioc.stix_objects(ioc.indicators(files.read_report(spark, given.reports), "source", "text")), given.out, "report")
+        now = datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+        sinks.write_stix(ioc.stix_objects(ioc.indicators(files.read_report(spark, given.reports), "source", "text"), now), given.out, "report")
     return 0
 
 

@@ -114,8 +114,9 @@ def folder_label(folder: Column) -> Column:
 def search_all(tables: Mapping[str, DataFrame], q: str, keys: Mapping[str, str], rows: int = SEARCH_ROWS) -> DataFrame:
     """Rows of all tables with a text in any cell: artifact, total, place (by the table's key), row (a map of its cells).
 
-    At most `rows` of each table are returned, beside the exact total of all. Each table is scanned once; totals are counted
-    with partial aggregation, and the first rows are found by a limited sort per table, never by a window over all hits.
+    At most `rows` of each table are returned, beside the exact total of all, the tables with most hits first, then by
+    name. Each table is scanned for its total, with partial aggregation, and again for its first rows, by a limited sort
+    that keeps no more than these per task; never by a window over all hits.
     """
     if len(q) < SEARCH_LEAST:
         raise ValueError(f"a search needs at least {SEARCH_LEAST} characters")
@@ -126,7 +127,7 @@ def search_all(tables: Mapping[str, DataFrame], q: str, keys: Mapping[str, str],
         cells = F.map_from_arrays(F.array(*map(F.lit, df.columns)), F.array(*map(_text, df.columns)))
         first = found.orderBy(keys[name]).limit(rows).select(F.lit(name).alias("artifact"), F.col(keys[name]).cast("long").alias("place"), cells.alias("row"))
         parts.append(first.crossJoin(total).select("artifact", "total", "place", "row"))  # the total is one row
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("total"), "artifact", "place")
 
 
 def search_totals(tables: Mapping[str, DataFrame], q: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions.times import micros
-from evidra.operators import correlate, integrity, ioc, search, sequences, triage
+from evidra.operators import correlate, integrity, ioc, search, sequences, tasks, triage
 from evidra.operators import timeline as tl
 from evidra.operators.rules import Rule, evaluate
 from evidra.session import read_table
@@ -391,6 +391,31 @@ def stix_bundle(spark: SparkSession, sf: str) -> DataFrame:
     return ioc.stix_objects(ioc_full(spark, sf))
 
 
+_EVERY = ", ".join((
+    *(f"list_transform(list_transform(regexp_extract_all(t, {_quoted(p)}), lambda x: {v}), lambda x: struct_pack(type := '{k}', value := x))" for k, p, v in (
+        ("url", ioc.URL, f"lower(regexp_replace(x, {_quoted(chr(91) + chr(34) + chr(39) + ').>,]+$')}, ''))"),
+        *(("file", rf"\b[a-fA-F0-9]{{{n}}}\b", "lower(x)") for n in (64, 40, 32)),
+    )),
+    f"list_transform(list_filter(regexp_extract_all(t, {_quoted(ioc.DOTTED)}), lambda x: {_V4.format('x')} AND NOT regexp_matches(x, '^(?:10|127)\\.|^172\\.(?:1[6-9]|2\\d|3[01])\\.|^192\\.168\\.|^169\\.254\\.|^0\\.0\\.0\\.0$|^255\\.255\\.255\\.255$')), lambda x: struct_pack(type := 'ipv4-addr', value := x))",
+    f"list_transform(list_filter(list_transform(regexp_extract_all(t, {_quoted(ioc.DOMAIN)}), lambda x: lower(x)), lambda x: regexp_extract(x, '([^.]*)$', 1) NOT IN ({', '.join(map(_quoted, ioc.NOT_DOMAINS))}) AND regexp_extract(x, '([^.]*\\.[^.]*)$', 1) NOT IN ({', '.join(map(_quoted, ioc.BENIGN_DOMAINS))})), lambda x: struct_pack(type := 'domain-name', value := x))",
+))
+
+
+@query(f"""SELECT DISTINCT d.doc_id, d.i.type AS type, d.i.value AS value FROM (SELECT doc_id, unnest(flatten([{_EVERY}])) AS i FROM (SELECT doc_id, {_REFANG} AS t FROM documents)) d
+ SEMI JOIN (SELECT unnest(flatten([{_EVERY}])) AS i FROM (SELECT {_REFANG.replace('text', 'event_data')} AS t FROM evtx_rows)) p ON d.i = p.i""")
+def ioc_match_any(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold an indicator of the event log, wherever it stands in either."""
+    text = ioc.refang(F.coalesce("event_data", F.lit("")))
+    packs = read_table(spark, sf, "evtx_rows").select(F.explode(ioc.every_indicator(text)).alias("i")).select("i.*").distinct()
+    return ioc.match_evidence(read_table(spark, sf, "documents").select("doc_id", "text"), "text", packs).select("doc_id", "type", "value").distinct()
+
+
+@query()
+def scheduled_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """The exported tasks as one flat table."""
+    return tasks.scheduled_tasks(read_table(spark, sf, "task_xml"), "record_id", "xml_text")
+
+
 @query()
 def ioc_match(spark: SparkSession, sf: str) -> DataFrame:
     """Texts that hold an indicator found in the event log."""
@@ -401,12 +426,12 @@ def ioc_match(spark: SparkSession, sf: str) -> DataFrame:
 # --- views of any table -------------------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM orders WHERE lower(coalesce(CAST(o_orderpriority AS VARCHAR), '')) IN ('1-urgent', '5-low') AND (" + " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), '77')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")) + ")")
+@query("SELECT * FROM orders WHERE lower(coalesce(CAST(o_orderpriority AS VARCHAR), '')) IN ('1-urgent', '5-low') AND (" + " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), '77')" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")) + ")")
 def artifact_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """A table filtered by values of one column and a text in the cells of others."""
+    """A table filtered by values of one column and a text in any cell."""
     o = read_table(spark, sf, "orders")
     q = search.ArtifactQuery("o_orderpriority", ("1-URGENT ", "5-low"), "77")
-    return o.where(q.condition(["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]))
+    return o.where(q.condition(o.columns))
 
 
 @query("""SELECT record_id, event_id, level, computer FROM evtx_rows ORDER BY CASE WHEN TRY_CAST(coalesce(event_data, '') AS DOUBLE) IS NULL THEN 1 ELSE 0 END, TRY_CAST(coalesce(event_data, '') AS DOUBLE), lower(coalesce(event_data, '')), record_id LIMIT 200 OFFSET 400""")
@@ -420,22 +445,26 @@ def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {x: read_table(spark, sf, x) for x in ("customer", "supplier", "part", "nation", "region", "timeline", "evtx_rows", "documents")}
 
 
-_SEARCH_COLUMNS = {"customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"), "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"), "documents": ("doc_id", "text", "lang", "source")}
-_KEYS = {"customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "nation": "n_nationkey", "region": "r_regionkey", "documents": "doc_id"}
+_SEARCH_COLUMNS = {
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "region": ("r_regionkey", "r_name"),
+    "timeline": ("event_id", "date", "time", *_TEXTS), "evtx_rows": ("record_id", "time_created_utc", "event_id", "provider", "channel", "computer", "level", "event_data"),
+    "documents": ("doc_id", "text", "lang", "source", "n_chars", "collected_at"),
+}
+_KEYS = {t: columns[0] for t, columns in _SEARCH_COLUMNS.items()}
 _HAS = {t: " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), 'ma')" for c in cols) for t, cols in _SEARCH_COLUMNS.items()}
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS artifact, total, place FROM (SELECT CAST({_KEYS[t]} AS BIGINT) AS place, count(*) OVER () AS total, row_number() OVER (ORDER BY {_KEYS[t]}) AS i FROM {t} WHERE {has}) WHERE i <= 50" for t, has in _HAS.items()))
+@query(" UNION ALL ".join(f"SELECT '{t}' AS artifact, total, place FROM (SELECT CAST({_KEYS[t]} AS BIGINT) AS place, count(*) OVER () AS total, row_number() OVER (ORDER BY {_KEYS[t]}) AS i FROM {t} WHERE {has}) WHERE i <= 50" for t, has in _HAS.items()) + " ORDER BY total DESC, artifact, place")
 def search_all_tables(spark: SparkSession, sf: str) -> DataFrame:
     """A text in all tables: the first rows of each, and how many there are."""
-    tables = {t: read_table(spark, sf, t).select(*cols) for t, cols in _SEARCH_COLUMNS.items()}
-    return search.search_all(tables, "MA", _KEYS).select("artifact", "total", "place")
+    return search.search_all(_tables(spark, sf), "MA", _KEYS).select("artifact", "total", "place")
 
 
 @query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS artifact, count(*) AS total FROM {t} WHERE {has}" for t, has in _HAS.items()) + ") WHERE total > 0")
 def search_totals(spark: SparkSession, sf: str) -> DataFrame:
     """How often a text comes in each table."""
-    return search.search_totals({t: read_table(spark, sf, t).select(*cols) for t, cols in _SEARCH_COLUMNS.items()}, "ma")
+    return search.search_totals(_tables(spark, sf), "ma")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS artifact, count(*) AS n FROM {t}" for t in ("customer", "supplier", "part", "nation", "region", "timeline", "evtx_rows", "documents")))

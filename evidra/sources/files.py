@@ -18,24 +18,40 @@ _BROKEN = "_broken"
 _NO_NULL = "\x01"
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], strict: bool = True, multi_line: bool = False) -> DataFrame:
-    """CSV files with one header as strings, missing cells empty.
+def _broken_lines(spark: SparkSession, paths: Sequence[str]) -> bool:
+    """Whether a line of the files has an odd number of quotes, as lines have whose cells hold line breaks."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text([*paths]).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
+def read_csv(spark: SparkSession, paths: str | Sequence[str], strict: bool = True, multi_line: bool | None = None) -> DataFrame:
+    """CSV files as strings by the names of their headers, missing cells empty.
 
     Rows shorter than the header are left out if `strict` (rules and the timeline) and kept otherwise (search and
-    pages); longer ones are cut. Quotes are doubled inside quotes. With `multi_line`, cells may hold line breaks and a
-    file is read by one task; without, large files are split.
+    pages); longer ones are cut. Quotes are doubled inside quotes. Files with other headers than the first are put below
+    it by name. Cells may hold line breaks: if a look at the lines finds any (or `multi_line` says so) a file is read by
+    one task; otherwise large files are split.
     """
     some = [paths] if isinstance(paths, str) else [*paths]
-    header = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(some[0]).columns
+    multi_line = _broken_lines(spark, some) if multi_line is None else multi_line
+    headers: dict[tuple[str, ...], list[str]] = {}
+    for p in some:
+        headers.setdefault(tuple(spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(p).columns), []).append(p)
+    parts = [_read_alike(spark, own, header, strict, multi_line) for header, own in headers.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).na.fill("") if len(parts) > 1 else parts[0]
+
+
+def _read_alike(spark: SparkSession, paths: list[str], header: Sequence[str], strict: bool, multi_line: bool) -> DataFrame:
+    """CSV files of one header."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header] + [T.StructField(_BROKEN, T.StringType())])
     reader = spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"').option("mode", "PERMISSIVE").option("columnPruning", False)
-    rows = reader.option("columnNameOfCorruptRecord", _BROKEN).option("nullValue", _NO_NULL).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(some)
+    rows = reader.option("columnNameOfCorruptRecord", _BROKEN).option("nullValue", _NO_NULL).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(paths)
     if strict:
         rows = rows.where(F.col(_BROKEN).isNull() | F.col(f"`{header[-1]}`").isNotNull())
     return rows.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in header))
 
 
-def short_rows(spark: SparkSession, path: str, multi_line: bool = False) -> int:
+def short_rows(spark: SparkSession, path: str, multi_line: bool | None = None) -> int:
     """How many rows of a CSV file are shorter than its header."""
     return read_csv(spark, path, False, multi_line).count() - read_csv(spark, path, True, multi_line).count()
 

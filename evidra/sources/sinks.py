@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +41,19 @@ def write_hits(hits: DataFrame, path: str) -> None:
 
 
 def write_stix(objects: DataFrame, path: str, bundle_id: str) -> None:
-    """STIX objects (one JSON text each) as lines, beside a bundle header; the objects stay distributed."""
-    objects.select(F.col("object").alias("value")).write.mode("overwrite").text(path)
-    with open(os.path.join(path, "bundle.json"), "w") as f:
-        json.dump({"type": "bundle", "id": f"bundle--{bundle_id}", "objects": "part-*.txt"}, f)
+    """STIX objects (one JSON text each) as bundles: every file is a whole one, with an array of its objects and an id that follows from `bundle_id` and the file's number; the objects stay distributed."""
+
+    def wrap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = uuid.uuid5(uuid.NAMESPACE_URL, f"{bundle_id}/{TaskContext.get().partitionId()}")
+        before = f'{{"type":"bundle","id":"bundle--{own}","objects":['
+        for batch in batches:
+            if len(batch):
+                lines = batch["object"].tolist()
+                yield pd.DataFrame({"value": [before + lines[0], *("," + x for x in lines[1:])]})
+                before = ","
+        yield pd.DataFrame({"value": ["]}" if before == "," else before + "]}"]})
+
+    objects.select("object").mapInPandas(wrap, "value string").write.mode("overwrite").text(path)
 
 
 def write_manifest(files: DataFrame, path: str) -> None:

@@ -31,6 +31,29 @@ def test_csv_with_ragged_rows(spark, tmp_path):
     assert {*files.artifact_tables(spark, str(tmp_path))} == {"x/a", "x/b"} and q
 
 
+def test_csv_with_line_breaks_in_cells_and_other_headers(spark, tmp_path):
+    p = put(tmp_path / "y" / "a.csv", 'a,b,c\n1,"x\ny",3\n4,5,6\n')
+    assert sorted(tuple(r) for r in files.read_csv(spark, p).collect()) == [("1", "x\ny", "3"), ("4", "5", "6")] and files.short_rows(spark, p) == 0
+    q = put(tmp_path / "y" / "b.csv", "c,a,d\n7,8,9\n")
+    assert sorted(tuple(r) for r in files.read_csv(spark, [p, q]).collect()) == [("1", "x\ny", "3", ""), ("4", "5", "6", ""), ("8", "", "7", "9")]
+
+
+def test_stix_bundles_are_whole_and_the_same_each_time(spark, tmp_path):
+    from evidra.operators import ioc
+
+    rows = [("b", "url", "http://x/a'b\\c", "later", 90), ("a", "url", "http://x/a'b\\c", "first", 90), ("a", "file", "0" * 32, "h", 50), ("a", "email", "x@y", "", 1)]
+    found = spark.createDataFrame(rows, "source_file string, type string, value string, context string, confidence int")
+    for parts in (1, 5):
+        objects = ioc.stix_objects(found.repartition(parts), "2026-01-05T00:00:00.000Z")
+        got = {o["pattern"]: o for o in (json.loads(r[0]) for r in objects.collect())}
+        assert {k: o["description"] for k, o in got.items()} == {"[url:value = 'http://x/a\\'b\\\\c']": "first", "[file:hashes.MD5 = '" + "0" * 32 + "']": "h"}
+        assert all(o["created"] == o["modified"] == o["valid_from"] == "2026-01-05T00:00:00.000Z" for o in got.values())
+    sinks.write_stix(objects, str(tmp_path / "out"), "r")
+    bundles = [json.loads(p.read_text()) for p in (tmp_path / "out").glob("part-*")]
+    assert sum(len(b["objects"]) for b in bundles) == 2 and all(b["type"] == "bundle" and b["id"].startswith("bundle--") for b in bundles)
+    assert files.read_stix(spark, str(tmp_path / "out")).count() == 2
+
+
 def test_lines_channels_and_lists(spark, tmp_path):
     p = put(tmp_path / "l" / "u.log", "#Fields: a\r\n1\n\nlast")
     rows = files.read_lines(spark, {"S": [p]}).orderBy("line_no").collect()
