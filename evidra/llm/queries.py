@@ -16,6 +16,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline_runs(read_table(spark, sf_dir, "timeline")).where("n_events > 1").select("first_event_id", "n_events")
 
 
+def p3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of two or more events that share most of their words, none an hour after the one before: first_event_id, n_events."""
+    return timeline_runs(read_table(spark, sf_dir, "timeline"), least=0.7, gap=3600 * 10**9).where("n_events > 1").select("first_event_id", "n_events")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of each document by byte_bpe_50k: doc_id, ids."""
     return encode_corpus(read_table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -31,7 +36,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_scores(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source").where("score > 0.5").select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p3_near": p3_near, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 _NUMBER = r"(?:0x[0-9a-f]+|[0-9a-f]*[0-9][0-9a-f]*|[0-9a-f]{12})\b"
 _SQUEEZED = r"trim(regexp_replace(lower(coalesce({0}, '')), '[\s\x{{a0}}]+', ' ', 'g'), ' ')"
 _READING = _SQUEEZED.format("short")

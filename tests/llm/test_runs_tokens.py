@@ -93,3 +93,54 @@ def test_round_trip(spark):
     back = decode_corpus(encode_corpus(df, "doc_id", "text"), "doc_id", "ids")
     assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert df.where(F.array_join(words_of(F.col("text")), "") != F.col("text")).count() == 0
+
+
+def naive(rows, least, gap):
+    """Of one entity: look at all neighbours, merge the most similar, and again."""
+    runs = [(i, 1, t, t, x, x, {*x.split()}) for t, i, x in sorted(rows)]
+
+    def like(a, b):
+        one = lambda x, y: 1.0 if x == y else len(x & y) / len(x | y) * 0.999999 if x or y else 0.0
+        ends = 1.0 if a[5] == b[4] else one(frozenset(a[5].split()), frozenset(b[4].split())) * (1 if {*a[5].split()} != {*b[4].split()} else 0.999999)
+        return min(ends, one(a[6], b[6])) if b[2] - a[3] <= gap else -1
+
+    while len(runs) > 1:
+        best, j = max((like(runs[j - 1], runs[j]), -j) for j in range(1, len(runs)))
+        if best < least:
+            break
+        a, b = runs[-j - 1], runs[-j]
+        runs[-j - 1 : -j + 1] = [(a[0], a[1] + b[1], a[2], b[3], a[4], b[5], a[6] & b[6])]
+    return [(r[0], r[1]) for r in runs]
+
+
+def test_near_runs_do_not_depend_on_where_tasks_and_batches_end(spark):
+    rng = random.Random(5)
+    rows, text = [], ["a", "b", "c", "d", "e"]
+    for i in range(700):
+        if rng.random() < 0.5:
+            text = [*text]
+            text[rng.randrange(5)] = rng.choice("abcdefgh")
+        rows.append(("hot" if rng.random() < 0.7 else rng.choice("xy"), i * 2 + rng.choice([0, 0, 0, 9]), i, " ".join(text)))
+    want = sorted((e, *r) for e in {r[0] for r in rows} for r in naive([x[1:] for x in rows if x[0] == e], 0.6, 12))
+    df = spark.createDataFrame(rows, "host string, t long, id long, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        for batch, parts in ((10_000, 1), (13, 9), (5, 40)):
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = event_runs(df, "host", "t", "id", "text", least=0.6, gap=12).collect()
+            assert sorted((r["entity"], r["first_event_id"], r["n_events"]) for r in got) == want, (batch, parts)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_similarity_is_computed_again_after_a_merge():
+    run = lambda i, x: ["e", i, 1, i, i, x, x]
+    drift = [run(0, "a b c d"), run(1, "b c d e"), run(2, "c d e f"), run(3, "d e f g")]
+    # all neighbours are alike, but once two have merged, what they have in common is less like the next
+    assert [(r[1], r[2]) for r in agglomerate(drift, 0.55, None)] == [(0, 2), (2, 2)]
+    # the most similar pair goes first, wherever it stands
+    order = [run(0, "a b c x"), run(1, "a b c y"), run(2, "a b c y z")]
+    assert [(r[1], r[2]) for r in agglomerate(order, 0.6, None)] == [(0, 1), (1, 2)]
