@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidra.operators import integrity, search
 from evidra.operators.rules import Rule, evaluate, ordered
 from evidra.operators.timeline import build_timeline, in_order, with_alerts
+from evidra.session import materialize
 from evidra.sources import files, rule_files, sinks
 
 
@@ -31,8 +32,9 @@ class Case:
 
     def timeline(self, as_of: str | None = None) -> DataFrame:
         """The supertimeline of the tables that adapters read."""
-        by_base = {name.rpartition("/")[2]: df for name, df in self.tables().items()}
-        channels = [df for name, df in self.tables().items() if name.startswith("evtx/")]
+        tables = self.tables()
+        by_base = {name.rpartition("/")[2]: df for name, df in tables.items()}
+        channels = [df for name, df in tables.items() if name.startswith("evtx/")]
         for df in channels:
             by_base["evtx"] = by_base["evtx"].unionByName(df, allowMissingColumns=True) if "evtx" in by_base else df
         return build_timeline(by_base, as_of)
@@ -45,7 +47,7 @@ class Case:
     def analyze(self, out: str, rules_folder: str = "", as_of: str | None = None) -> dict:
         """Timeline and hits as tables below `out`, and a summary of the run."""
         rules, warnings = rule_files.load_rules(rules_folder) if rules_folder else ([], [])
-        hits = self.hits(rules)
+        hits = materialize(self.hits(rules), "hits")
         sinks.write_hits(hits, os.path.join(out, "behavior_hits"))
         sinks.write_timeline(in_order(with_alerts(self.timeline(as_of), hits)), os.path.join(out, "timeline"))
         summary = {"tables": {r["artifact"]: r["n"] for r in search.row_counts(self.tables(strict=False)).collect()}, "hits": hits.count(), "warnings": warnings}

@@ -177,6 +177,17 @@ def normalized_path(path: Column) -> Column:
     return t
 
 
+def module_extension(path: Column) -> Column:
+    """The extension of a module path, in lower case, without the arguments that may follow it; empty if its last part has none."""
+    return F.regexp_extract(F.lower(F.split_part(path, F.lit(" "), F.lit(1))), r"(\.[^.\\/]*)$", 1)
+
+
+def by_tier(rows: DataFrame, tier: str, *then: str) -> DataFrame:
+    """Rows by tier, the most severe first, and then by other columns; unknown tiers last."""
+    rank = F.array_position(F.array(*map(F.lit, ("HIGH", "NOTABLE", "LOW", "INFO"))), F.upper(F.trim(_text(tier))))
+    return rows.orderBy(F.when(rank > 0, rank).otherwise(9), *then)
+
+
 def shadowed_servers(user: DataFrame, machine: DataFrame) -> DataFrame:
     """Per-user servers beside the machine's of the same class: clsid, wow64, module_path, machine_path, in_machine, differs (none there, or another path)."""
     m = machine.select(F.upper("clsid").alias("k"), F.col("wow64").alias("w"), F.col("module_path").alias("machine_path"))

@@ -148,6 +148,11 @@ def trigram_index(rows: DataFrame, key: str, text: Sequence[str]) -> DataFrame:
     return rows.select(F.col(key), joined.alias("t")).select(key, F.explode(F.array_distinct(grams)).alias("gram"))
 
 
+def store_trigram_index(index: DataFrame, path: str) -> None:
+    """The index as a table sorted by its trigrams, so that a search reads only the row groups that hold its own."""
+    index.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("overwrite").parquet(path)
+
+
 def trigram_search(index: DataFrame, rows: DataFrame, key: str, text: Sequence[str], q: str) -> DataFrame:
     """The rows that hold a literal text, by the index: keys that have all of its trigrams, then a check of the text itself."""
     low = q.lower()
@@ -155,5 +160,10 @@ def trigram_search(index: DataFrame, rows: DataFrame, key: str, text: Sequence[s
     check = _any([F.contains(F.lower(_text(c)), F.lit(low)) for c in text])
     if not grams:
         return rows.where(check)
-    keys = index.where(F.col("gram").isin(grams)).groupBy(key).agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams)).select(key)
+    place = F.array_position(F.array(*map(F.lit, grams)), F.col("gram")) - 1
+    # which of the trigrams a key has, as sets of bits, so that keys are aggregated before they are exchanged
+    bit = F.array(*(F.lit(1 << i).cast("long") for i in range(60)))
+    words = [F.bit_or(F.coalesce(F.get(bit, (place - a).cast("int")), F.lit(0))).alias(f"w{a}") for a in range(0, len(grams), 60)]
+    whole = reduce(lambda x, y: x & y, [F.col(f"w{a}") == (1 << min(60, len(grams) - a)) - 1 for a in range(0, len(grams), 60)])
+    keys = index.where(F.col("gram").isin(grams)).groupBy(key).agg(*words).where(whole).select(key)
     return rows.join(keys, key, "left_semi").where(check)

@@ -215,3 +215,9 @@ def read_report(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Threat reports as source and text, one row per file."""
     rows = spark.read.text(paths if isinstance(paths, str) else [*paths], wholetext=True)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("source"), F.col("value").alias("text"))
+
+
+def read_json_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Case, result and summary files, a JSON object each: their members as columns, and the file's path."""
+    rows = spark.read.option("multiLine", True).option("mode", "DROPMALFORMED").json(paths if isinstance(paths, str) else [*paths])
+    return rows.withColumn("path", F.col("_metadata.file_path"))

@@ -190,3 +190,18 @@ def test_tokens_anywhere_in_a_web_file(spark):
     got = lambda **head: {r["id"]: (r["strong"], r["weak"], r["triage"]) for r in triage.web_file_triage(files, "text", **head).collect()}
     assert got() == {1: (1, 0, "HIGH"), 2: (0, 2, "NOTABLE"), 3: (0, 0, "INFO"), 4: (0, 0, "INFO"), 5: (1, 0, "HIGH")}
     assert got(head=triage.WEB_FILE_HEAD) == {1: (0, 0, "INFO"), 2: (0, 1, "INFO"), 3: (0, 0, "INFO"), 4: (0, 0, "INFO"), 5: (1, 0, "HIGH")}
+
+
+def test_module_extensions_and_tiers(spark):
+    paths = {"C:\\a.b\\X.DLL": ".dll", "c:\\x.exe -k y.txt": ".exe", "c:\\a.b\\x": "", "": "", "x.": "."}
+    df = spark.createDataFrame([(p, t) for p, t in zip(paths, ("info", "HIGH ", "odd", None, "notable"))], "p string, tier string")
+    assert {r["p"]: r["e"] for r in df.select("p", correlate.module_extension(F.col("p")).alias("e")).collect()} == paths
+    assert [r["tier"] for r in correlate.by_tier(df, "tier", "p").collect()] == ["HIGH ", "notable", "info", None, "odd"]
+
+
+def test_stored_trigram_index(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "PowerShell run", None), (2, "power", "shell"), (3, None, None), (1, "PowerShell run", None), (4, "x" * 200 + "abc" * 60, "")], "id long, a string, b string")
+    search.store_trigram_index(search.trigram_index(rows, "id", ("a", "b")), str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    found = lambda q: sorted(r["id"] for r in search.trigram_search(index, rows, "id", ("a", "b"), q).collect())
+    assert found("powershell") == [1, 1] and found("pow") == [1, 1, 2] and found("zz") == [] and found("".join(chr(97 + i % 26) + str(i) for i in range(80))) == [] and found("x" * 100 + "abcabcabc"[:0]) == [4]

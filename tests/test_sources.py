@@ -233,3 +233,10 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_tags(tags) == []
     sinks.write_tags([{"id": "1", "note": "x", "more": 1}], tags)
     assert sinks.read_tags(tags) == [{"id": "1", "event_data": "", "note": "x"}]
+
+
+def test_json_documents(spark, tmp_path):
+    put(tmp_path / "j" / "case.json", '{"id": "c1",\n "findings": [{"severity": "HIGH"}]}')
+    put(tmp_path / "j" / "broken.json", '{"id": ')
+    rows = files.read_json_documents(spark, str(tmp_path / "j")).where("id is not null").collect()
+    assert [(r["id"], r["findings"][0]["severity"], r["path"].endswith("case.json")) for r in rows] == [("c1", "HIGH", True)]
