@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -159,6 +160,58 @@ def alerts_injected(spark: SparkSession, sf: str) -> DataFrame:
     return tl.with_alerts(tl.event_log(e), evaluate([rule], {"evtx_rows": e}))
 
 
+# Adapters read the event-log rows under the names of their own columns; each value is told by its name in braces.
+_LAST_PART = "regexp_extract({0}, '([^\\\\/]*)[\\\\/]*$', 1)"
+
+
+def _adapter(name: str, adapter: Callable[[DataFrame], DataFrame], columns: dict[str, str], extra_times: dict[str, tuple[str, str]] | None = None, **shown: str) -> None:
+    """Register an adapter: `columns` maps its columns to those of evtx_rows, `shown` its results to texts with these in braces (and base:x, the last part of x)."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        rows = read_table(spark, sf, "evtx_rows")
+        return adapter(rows.select(*(F.col(old).alias(new) for new, old in columns.items())))
+
+    def told(text: str) -> str:
+        parts = re.split(r"\{([^{}]*)\}", text)
+        value = lambda x: f"coalesce(CAST({columns[x]} AS VARCHAR), '')"
+        filled = [_LAST_PART.format(value(x[5:])) if x.startswith("base:") else value(x) for x in parts[1::2]]
+        texts = ["'" + x.replace("'", "''") + "'" for x in parts[::2]]
+        return " || ".join(x for pair in zip(texts, [*filled, "''"]) for x in pair if x != "''") or "''"
+
+    fixed = {"timezone": "UTC", "version": "2", "format": "safe"}
+    selects = []
+    for time, (macb, kind) in (extra_times or {"": (shown.get("macb", ""), shown.get("type", ""))}).items():
+        at = columns[time] if time else next(old for new, old in columns.items() if new.endswith(("_utc", "timestamp")))
+        cells = fixed | shown | {"macb": macb, "type": kind}
+        made = [f"{told(cells.get(c, ''))} AS {c}" for c in tl.COLUMNS if c != "datetime"]
+        selects.append(f"SELECT {_STAMP.format(at)} AS datetime, {', '.join(made)} FROM evtx_rows WHERE {at} IS NOT NULL")
+    run.__name__ = name
+    run.__doc__ = f"Events of the adapter {adapter.__name__}."
+    query(" UNION ALL ".join(selects))(run)
+
+
+_adapter("timeline_userassist", tl.userassist, {"last_run_utc": "time_created_utc", "decoded_path": "channel", "sid": "computer", "run_count": "event_id", "focus_time_ms": "record_id"},
+         macb="..C.", source="Registry", sourcetype="UserAssist", type="Last Run", user_name="{sid}", short="Run: {base:decoded_path}", descr="UserAssist run of {decoded_path} (RunCount: {run_count}, FocusTime: {focus_time_ms}ms)", filename="NTUSER.DAT", extra="run_count={run_count};focus_time_ms={focus_time_ms}")
+_adapter("timeline_prefetch", tl.prefetch, {"run_time_utc": "time_created_utc", "executable": "provider", "path": "channel", "run_count": "event_id", "prefetch_filename": "computer", "is_baseline": "level"},
+         macb="M...", source="Prefetch", sourcetype="Prefetch", type="Last Run", short="Run: {executable}", descr="Prefetch run of {executable} from {path} (RunCount: {run_count}, PrefetchFile: {prefetch_filename})", filename="{prefetch_filename}", extra="run_count={run_count};is_baseline={is_baseline}")
+_adapter("timeline_bam", tl.bam, {"last_execution_utc": "time_created_utc", "normalized_path": "channel", "sid": "computer", "source": "level"},
+         macb="M...", source="Registry", sourcetype="{source}", type="Last Run", user_name="{sid}", short="Run: {base:normalized_path}", descr="BAM/DAM execution trace of {normalized_path}", filename="SYSTEM")
+_adapter("timeline_shimcache", tl.shimcache, {"last_modified_utc": "time_created_utc", "path": "channel", "execution_flag": "level"},
+         macb="M...", source="Registry", sourcetype="ShimCache", type="Last Modified", short="ShimCache: {base:path}", descr="ShimCache entry for {path} (ExecutionFlag: {execution_flag})", filename="SYSTEM", extra="execution_flag={execution_flag}")
+_adapter("timeline_shellbags", tl.shellbags, {"last_write_utc": "time_created_utc", "folder_path": "channel", "sid": "computer", "mru_path": "event_id", "source_hive": "level"},
+         macb="M...", source="Registry", sourcetype="ShellBags", type="Folder Accessed", user_name="{sid}", short="Access Folder: {base:folder_path}", descr="User browsed folder {folder_path} (MRU: {mru_path})", filename="{source_hive}")
+_adapter("timeline_history", tl.browser_history, {"last_visit_utc": "time_created_utc", "browser": "level", "sid": "computer", "title": "provider", "url": "channel", "profile": "event_id", "visit_count": "record_id"},
+         macb="..C.", source="Browser", sourcetype="{browser} History", type="Visit", user_name="{sid}", short="Visited: {title}", descr="User visited URL {url} (Browser: {browser}, Profile: {profile}, VisitCount: {visit_count})", filename="{browser} History DB", extra="browser={browser};profile={profile};visit_count={visit_count}")
+_adapter("timeline_downloads", tl.browser_downloads, {"start_time_utc": "time_created_utc", "browser": "level", "sid": "computer", "target_path": "channel", "url": "provider", "profile": "event_id", "total_bytes": "record_id"},
+         macb="...B", source="Browser", sourcetype="{browser} Downloads", type="Downloaded", user_name="{sid}", short="Download: {base:target_path}", descr="Downloaded {target_path} from {url} (Browser: {browser}, Profile: {profile}, Size: {total_bytes} bytes)", filename="{browser} History DB", extra="browser={browser};profile={profile};total_bytes={total_bytes}")
+_adapter("timeline_jump_lists", tl.jump_lists, {"last_accessed_utc": "time_created_utc", "lnk_modified_utc": "time_created_utc", "path": "channel", "sid": "computer", "type": "level", "app_id": "event_id"},
+         {"last_accessed_utc": ("..C.", "Accessed"), "lnk_modified_utc": ("M...", "Modified")}, source="File", sourcetype="JumpList", user_name="{sid}", short="JumpList: {base:path}", descr="JumpList entry ({type}) appID {app_id} targets: {path}", filename="{type} DestList", extra="app_id={app_id};type={type}")
+_adapter("timeline_master_file_table", tl.master_file_table, {"creation_time": "time_created_utc", "accessed_time": "time_created_utc", "filename": "provider"},
+         {"creation_time": ("M...", "File Creation"), "accessed_time": ("M...", "File Accessed")}, source="FILE", sourcetype="mft_timeline.csv", user_name="-", host="-", short="{filename}", descr="$MFT Record: {filename}", format="")
+_adapter("timeline_change_journal", tl.change_journal, {"timestamp": "time_created_utc", "filename": "provider", "reason": "channel"},
+         macb="M...", source="USN", sourcetype="usn.csv", type="File Modified", user_name="-", host="-", short="{filename}", descr="USN Record: {filename} ({reason})", format="")
+
+
 # --- detections ---------------------------------------------------------------------------------------------------
 
 _SCALAR = "trim(regexp_replace(regexp_extract(coalesce(event_data, ''), '\"{0}\":\\s*(\"[^\"]*\"|[^\",}}][^,}}]*)', 1), '^\"|\"$', '', 'g'))"

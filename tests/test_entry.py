@@ -36,6 +36,29 @@ def test_every_query_agrees_with_its_sql(spark):
     assert not wrong
 
 
+#: Queries whose order is the feature, with the columns that tell it.
+IN_ORDER = {"timeline_page_desc": ("datetime", "event_id"), "timeline_page_asc": ("datetime", "event_id"), "artifact_sort_mixed": ("record_id",), "search_all_tables": ("total", "artifact", "place")}
+
+
+def test_order_where_it_is_the_feature(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    db.execute("set timezone = 'UTC'")
+    for p in Path(SF).glob("*.parquet"):
+        db.execute(f"create view {p.stem} as select * from '{p}'")
+    queries, oracle = entry.queries(), entry.oracle_sql()
+    for name, columns in IN_ORDER.items():
+        cursor = db.execute(oracle[name])
+        names = [d[0] for d in cursor.description]
+        want = [tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()]
+        assert [tuple(r[c] for c in columns) for r in queries[name](spark, SF).collect()] == want, name
+    at = [r["datetime"] for r in queries["timeline_union_sort"](spark, SF).collect()]
+    assert at == sorted(at)
+
+
 def test_queries_without_sql_give_rows(spark):
     import __spark_entry__ as entry
 
